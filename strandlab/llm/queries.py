@@ -7,15 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlab.llm.common import documents
+from strandlab.llm.exact_dedup import exact_duplicates
+from strandlab.llm.merge_dropout import encode_decode
 from strandlab.llm.near_dedup import near_duplicates
+from strandlab.llm.records import token_records
+
+
+def vocabulary(name: str) -> str:
+    """A public vocabulary file's place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(documents(spark, sf_dir))
+
+
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_token_records": op4_token_records,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op10_merge_dropout": op10_merge_dropout,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents
+), g AS (
+  SELECT norm, count(*)::BIGINT AS group_size, arg_min(doc_id, struct_pack(a := -points, b := doc_id)) AS keep_id
+  FROM d GROUP BY norm
+)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
+FROM d JOIN g USING (norm)
+""",
+}
