@@ -7,9 +7,9 @@ unless no A or no B agrees: with r = 2 and m = 14 a pair at 0.8 is missed with a
 Stages, all keyed shuffles: (1) word shingles, set fingerprint and half-keys of every document, in one pass over the
 texts; (2) documents with one set form a class, its smallest doc_id stands for it, so copies cost no pairs; (3) half-keys
 that only one class has are dropped before the tables' keys are formed; (4) in each bucket all members are verified
-against its smallest member; (5) only pairs of members that are then still in different components are verified too, so
-that no link between components is lost and no bucket is expanded into all its pairs; (6) components by star
-contraction."""
+against its most typical member (whose half-keys are the most common); (5) members of buckets that then still hold
+several components are verified against each other if their shared shingles leave room for a link (_open_pairs), so that
+no link between components is lost and no bucket is expanded into all its pairs; (6) components by star contraction."""
 
 from __future__ import annotations
 
@@ -100,6 +100,46 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> D
     return stage(both.where(100 * F.col("c").cast("long") >= per_cent * (F.col("s") - F.col("c")).cast("long")).select("u", "v"), "verified")
 
 
+def _near(a: str, b: str, per_cent: int):
+    """Sets of so different sizes can't be similar enough."""
+    return 100 * F.least(a, b) >= per_cent * F.greatest(a, b)
+
+
+def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Pairs of one bucket that may link two components: u < v.
+
+    A member's link to another component lies within the shingles that it shares with members of other components. Where
+    these are too few for the smallest set that it could be linked with, it has no such link, and it goes before pairs are
+    formed. This is a bound, not an estimate: no link is lost."""
+
+    def split(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that have more than one component, with the smallest set in it."""
+        keys = rows.groupBy("key").agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.min("n").alias("least")).where("l1 < l2")
+        return rows.join(keys.select("key", "least"), "key")
+
+    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("l"))
+    open_ = stage(split(placed), "open")
+    nodes = stage(open_.groupBy("rep", "l", "n").agg(F.min("least").alias("least")), "nodes")
+    wanted = nodes.select(F.col("rep").alias("doc_id"), "l")
+    sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, grams array<long>")
+    grams = stage(sets.join(wanted, "doc_id").select("doc_id", "l", F.explode("grams").alias("g")), "grams")
+    cross = grams.groupBy("g").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("g")
+    bound = grams.join(cross, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("most"))
+    smallest = F.greatest(F.col("least"), F.ceil(per_cent * F.col("n") / 100))
+
+    def enough(a, b):
+        return (100 + per_cent) * F.col("most") >= per_cent * (a + b)
+
+    active = nodes.join(bound, "rep").where(enough(F.col("n"), smallest)).select("rep", "most")
+    rows = stage(split(open_.drop("least").join(active, "rep")).drop("least"), "active")
+    a = rows.select("key", *(F.col(c).alias(f"u_{c}") for c in ("rep", "n", "l", "most", "c")))
+    b = rows.select("key", *(F.col(c).alias(f"v_{c}") for c in ("rep", "n", "l", "most")))
+    fits = (100 + per_cent) * F.least("u_most", "v_most") >= per_cent * (F.col("u_n") + F.col("v_n"))
+    tried = (F.col("u_rep") == F.col("u_c")) | (F.col("v_rep") == F.col("u_c"))
+    pairs = a.join(b, "key").where((F.col("u_rep") < F.col("v_rep")) & (F.col("u_l") != F.col("v_l")) & fits & ~tried & _near("u_n", "v_n", per_cent))
+    return pairs.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, rows: int = ROWS_PER_HALF, halves: int = HALVES) -> DataFrame:
     """doc_id, n_shingles (distinct `width`-word shingles of the text with A-Z lower-cased), component_id (smallest
     doc_id reached by links of similarity per_cent / 100 or more, itself included), kept (doc_id = component_id).
@@ -117,27 +157,17 @@ def _near_duplicates(docs: DataFrame, width: int, per_cent: int, rows: int, halv
     some = all_docs.where("n > 0")
     classes = some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
     half = stage(classes.select("rep", "n", F.posexplode("halves").alias("i", "h")), "halves")
-    shared = half.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("h")
-    own = half.join(shared, "h").groupBy("rep", "n").agg(F.collect_list(F.when(F.col("i") < halves, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("i") >= halves, F.col("h"))).alias("y"))
+    shared = half.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("c")).where("a < b").select("h", "c")
+    x, y = (F.collect_list(F.when(side, F.col("h"))) for side in (F.col("i") < halves, F.col("i") >= halves))
+    own = half.join(shared, "h").groupBy("rep", "n").agg(x.alias("x"), y.alias("y"), F.sum("c").alias("common"))
     keys = F.explode(F.flatten(F.transform("x", lambda x: F.transform("y", lambda y: F.xxhash64(x, y)))))
-    table = own.where((F.size("x") > 0) & (F.size("y") > 0)).select("rep", "n", keys.alias("key"))
-    table = stage(table, "tables")
-    heads = table.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("head"), F.max("rep").alias("top")).where("head.rep < top")
-    members = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key"), "members")
-
-    def near(a: str, b: str):
-        """Sets of so different sizes can't be similar enough."""
-        return 100 * F.least(a, b) >= per_cent * F.greatest(a, b)
-
-    stars = members.where(F.col("rep") != F.col("c")).where(near("n", "cn")).select(F.col("c").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _verified(stars, texts, width, per_cent)
+    table = stage(own.where((F.size("x") > 0) & (F.size("y") > 0)).select("rep", "n", "common", keys.alias("key")), "tables")
+    heads = table.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), F.col("rep"), F.col("n"))).alias("head"), F.count("*").alias("size")).where("size > 1")
+    members = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key").drop("common"), "members")
+    stars = members.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent))
+    links = _verified(stars.select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")).distinct(), texts, width, per_cent)
     labels = stage(components(links), "labels")
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("l"))
-    split = placed.groupBy("key").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("key")
-    open_ = stage(placed.where("rep <> c").join(split, "key"), "open")
-    a, b = open_.select("key", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("l").alias("ul")), open_.select("key", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("l").alias("vl"))
-    rest = a.join(b, "key").where("u < v and ul <> vl").where(near("un", "vn")).select("u", "v").distinct()
-    more = _verified(rest, texts, width, per_cent)
+    more = _verified(_open_pairs(members, labels, texts, width, per_cent), texts, width, per_cent)
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")
     reps = classes.select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
