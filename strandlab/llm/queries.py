@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlab.llm.common import documents
+from strandlab.llm.chat import read_back, windows
+from strandlab.llm.common import documents, stage
 from strandlab.llm.exact_dedup import exact_duplicates
 from strandlab.llm.merge_dropout import encode_decode
 from strandlab.llm.near_dedup import near_duplicates
 from strandlab.llm.records import token_records
+from strandlab.llm.sharding import shards
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +34,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", tag), (-7, 1, "assistant", tag)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return read_back(stage(windows(rows.unionByName(own)), "formatted"))
+
+
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(documents(spark, sf_dir), 8)
+
+
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -40,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_token_records": op4_token_records,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_chat_windows": op7_chat_windows,
+    "op9_kd_shards": op9_kd_shards,
     "op10_merge_dropout": op10_merge_dropout,
 }
 
