@@ -11,10 +11,11 @@ once the tasks have ended, names the files that count. A repeated or lost task s
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,15 @@ from pyspark.sql import functions as F
 
 from strandlab.llm.common import new_folder, per_row, stage
 
-#: Chunks whose ids a worker remembers; when there are so many, it starts anew.
-CACHED_CHUNKS = 400_000
+#: Chunks, and pieces, whose ids a worker remembers (about 0.2 kB each); when there are so many, it starts anew.
+CACHED = 700_000
+#: How the vocabulary's pre-tokenizer splits a text (fixed value).
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 0
-_ODD = re.compile(r"(?:^|\s) | (?:\s|$)|<\|")
+#: Blanks next to other white space (pairs of characters), among ASCII and all characters.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ANY = tuple(dict.fromkeys(x for c in _SPACES for x in (" " + c, c + " ")))
+_ASCII = tuple(x for x in _ANY if x.isascii())
 _MASK = 0xA282EAD8
 
 
@@ -40,37 +46,52 @@ def masked_crc(data: bytes) -> int:
 class Encoder:
     """Ids of whole texts. A single blank between two characters that aren't white space always starts a new piece of the
     pre-tokenizer, so what lies between such blanks is encoded by itself and remembered; texts with other blanks or with
-    what may be a special token are encoded in one go."""
+    what may be a special token are encoded in one go. A chunk that is new is split into the pre-tokenizer's pieces."""
 
     def __init__(self, vocabulary: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}  # ids of a chunk with a blank before it
+        self.pieces: dict[str, bytes] = {}
+        self.split = regex.compile(PIECE).findall
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks, odd, known = [], [], self.known
+        known, pieces, new, apart, plain = self.chunks, self.pieces, set(), [], []
+        for cache in (known, pieces):
+            if len(cache) > CACHED:
+                cache.clear()
         for i, text in enumerate(texts):
-            if _ODD.search(text):
-                odd.append(i)
-                chunks.append(None)
+            if text[:1] == " " or text[-1:] == " " or "<|" in text or any(x in text for x in (_ASCII if text.isascii() else _ANY)):
+                apart.append((i, text))
             else:
                 head, *rest = text.split(" ")
-                chunks.append([head, *[" " + x for x in rest]])
-        if len(known) > CACHED_CHUNKS:
-            known.clear()
-        new = list({c for own in chunks if own for c in own}.difference(known))
-        known.update(zip(new, self._raw(new), strict=True))
-        out = [b"".join(map(known.__getitem__, own)) if own else b"" for own in chunks]
-        for i, ids in zip(odd, self._raw([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+                apart.append((i, head))
+                plain.append((i, rest))
+                new.update(set(rest).difference(known))
+        own = {x: self.split(" " + x) for x in new}
+        unseen = list({p for x in own.values() for p in x}.difference(pieces))
+        pieces.update(zip(unseen, self._raw(unseen), strict=True))
+        for x, parts in own.items():
+            known[x] = b"".join([pieces[p] for p in parts])
+        out = self._raw([x for _, x in apart])
+        for i, rest in plain:
+            out[i] += b"".join(map(known.__getitem__, rest))
         return out
 
 
+@lru_cache(2)
+def encoder_of(vocabulary: str) -> Encoder:
+    """A worker keeps its encoder, and what it has learnt, for its later tasks."""
+    return Encoder(vocabulary)
+
+
 def _filesystem(folder: str):
     from pyarrow import fs
 
@@ -88,7 +109,7 @@ def _writer(folder: str, vocabulary: str, end_id: int):
         encoder, end, places, at, tokens, out = None, b"", [], 0, 0, None
         for batch in batches:
             if encoder is None:
-                encoder = Encoder(vocabulary)
+                encoder = encoder_of(vocabulary)
                 end = np.array([end_id], encoder.kind).tobytes()
                 out = store.open_output_stream(f"{base}/{name}.records")
             ids = batch.column("doc_id").to_pylist()

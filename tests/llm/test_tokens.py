@@ -84,3 +84,13 @@ def test_dropout_varies_and_decodes(spark):
     assert n[0] != n[1] and n[2] < min(n[:2]) < 1.6 * n[2]
     assert a.collect() == merge_dropout.encode_decode(docs, PIECES, seed=1).collect()
     assert merge_dropout.encode_decode(table(spark, []), PIECES).collect() == []
+
+
+def test_both_agendas_agree(monkeypatch):
+    model = merge_dropout.Model(PIECES)
+    words = [" " + w for _, t in ODD + HARD if t for w in t[:3000].split(" ")] + [" internationalisation's", " Donaudampfschifffahrt..", " été—ça"]
+    for below in (0, 2**30, 2**31):
+        short = [model.segment(w, 99, below) for w in words]
+        monkeypatch.setattr(merge_dropout, "SHORT", 0)
+        assert short == [model.segment(w, 99, below) for w in words]
+        monkeypatch.setattr(merge_dropout, "SHORT", 40)
