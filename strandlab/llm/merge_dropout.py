@@ -11,9 +11,12 @@ gives every text back."""
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,9 +28,16 @@ from strandlab.llm.common import per_row
 
 MARK = "▁"
 #: Chunks whose ids a worker remembers for each variant; when there are so many, it starts anew.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
 _CHUNK = re.compile(r" *[^ ]+| +")
-_UNUSUAL = re.compile(rf"^ |  | $|{MARK}")
+
+
+#: Chunks of so many characters at most have a list as their agenda, others a heap; both give the same pieces.
+SHORT = 40
+
+
+def _hash(piece: str, key: int) -> int:
+    return (zlib.crc32(piece.encode(), key & 0xFFFFFFFF) * 0x9E3779B1 >> 7) & 0xFFFFFFFF
 
 
 class Model:
@@ -51,7 +61,7 @@ class Model:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on over a blank: chunks would not be independent")
-        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.kind, self.code = (np.dtype("<u2"), "H") if n <= 1 << 16 else (np.dtype("<u4"), "I")
         sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.sizes, self.places = sizes, np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -60,6 +70,15 @@ class Model:
         """Ids of one chunk (blanks as such). key: of the hash; below: hashes (32 bits) under it skip a merge."""
         own = [MARK if c == " " else c for c in chunk]
         n = len(own)
+        if n <= SHORT and MARK not in chunk:
+            out = []
+            for p in self._short(own, key, below):
+                got = self.ids.get(p)
+                if got is not None:
+                    out.append(got)
+                else:
+                    out += [self.byte_id[b] for b in p.encode()]
+            return out
         literal = {i for i, c in enumerate(chunk) if c == MARK} if MARK in chunk else ()
         score, piece = self.score, own[:]
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -74,7 +93,7 @@ class Model:
             j = after[i]
             if piece[i] is None or j >= n or piece[i] + piece[j] != both or i in literal or j in literal:
                 continue
-            if below and (zlib.crc32(both.encode(), key + i & 0xFFFFFFFF) * 0x9E3779B1 >> 7) & 0xFFFFFFFF < below:
+            if below and _hash(both, key + i) < below:
                 continue
             piece[i], piece[j] = both, None
             k = after[i] = after[j]
@@ -99,6 +118,28 @@ class Model:
                 out += [self.byte_id[b] for b in p.encode()]
         return out
 
+    def _short(self, own: list[str], key: int, below: int) -> list[str]:
+        """The agenda of a short chunk, as the plain list of its pairs' scores."""
+        get, none = self.score.get, -math.inf
+        piece, start = own, list(range(len(own)))
+        agenda = [get(a + b, none) for a, b in zip(own, own[1:], strict=False)]
+        while agenda:
+            best = max(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            both = piece[i] + piece[i + 1]
+            if below and _hash(both, key + start[i]) < below:
+                agenda[i] = none
+                continue
+            piece[i] = both
+            del piece[i + 1], start[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(both + piece[i + 1], none)
+            if i:
+                agenda[i - 1] = get(piece[i - 1] + both, none)
+        return piece
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text; the dummy prefix goes."""
         if not len(ids):
@@ -110,12 +151,14 @@ class Model:
 
 
 class _Known(dict):
+    """Ids of chunks, which are named without their first blank."""
+
     def __init__(self, model: Model, key: int, below: int):
         super().__init__()
         self.model, self.key, self.below = model, key, below
 
     def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = np.array(self.model.segment(chunk, self.key, self.below), self.model.kind).tobytes()
+        got = self[chunk] = array(self.model.code, self.model.segment(" " + chunk, self.key, self.below)).tobytes()
         return got
 
 
@@ -128,10 +171,10 @@ class Encoder:
     def encode(self, doc_id: int | None, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, self.model.kind)
-        if _UNUSUAL.search(text):
-            chunks = _CHUNK.findall(" " + text)
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            chunks = [x[1:] for x in _CHUNK.findall(" " + text)]
         else:
-            chunks = [" " + x for x in text.split(" ")]
+            chunks = text.split(" ")
         v = len(self.known)
         for k in self.known:
             if len(k) > CACHED_CHUNKS:
@@ -145,11 +188,17 @@ class Encoder:
         return np.frombuffer(b"".join(out), self.model.kind)
 
 
+@lru_cache(2)
+def encoder_of(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+    """A worker keeps its encoder, and what it has learnt, for its later tasks."""
+    return Encoder(path, dropout, seed, variants)
+
+
 def _run(path: str, dropout: float, seed: int, variants: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(path, dropout, seed, variants)
+            encoder = encoder or encoder_of(path, dropout, seed, variants)
             docs, column = batch.column("doc_id"), batch.column("text")
             for a in range(0, batch.num_rows, 500):
                 own = docs.slice(a, 500)
