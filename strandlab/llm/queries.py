@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandlab.llm.chat import read_back, windows
 from strandlab.llm.common import documents, stage
+from strandlab.llm.decontaminate import contaminated
 from strandlab.llm.exact_dedup import exact_duplicates
 from strandlab.llm.merge_dropout import encode_decode
 from strandlab.llm.near_dedup import near_duplicates
+from strandlab.llm.pii import find
 from strandlab.llm.records import token_records
 from strandlab.llm.sharding import shards
+from strandlab.llm.toxicity import held_out, score, train
 
 
 def vocabulary(name: str) -> str:
@@ -26,10 +30,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=4)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -41,6 +55,10 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stage(windows(rows.unionByName(own)), "formatted"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(documents(spark, sf_dir))
+
+
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(documents(spark, sf_dir), 8)
 
@@ -51,9 +69,12 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_token_records": op4_token_records,
+    "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_windows": op7_chat_windows,
+    "op8_pii": op8_pii,
     "op9_kd_shards": op9_kd_shards,
     "op10_merge_dropout": op10_merge_dropout,
 }
