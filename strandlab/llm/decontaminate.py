@@ -159,28 +159,32 @@ class Items:
 _KIND = "doc_id long, item_id long, matched long, windows long, same_fillers boolean"
 
 
+def _matches(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, int, tuple[int, bool]]]:
+    """Row, item and match of what the rows of a batch have."""
+    for a, _, data, offsets in W.texts(batch):
+        t = templates(data, offsets)
+        found = defaultdict(set)
+        for k in items.sizes:
+            h = W.gram_hashes(t.words, k)
+            places = items.hits(h)
+            rows = np.searchsorted(t.first, places, "right") - 1
+            inside = places + k <= t.first[rows + 1]
+            for p, r in zip(places[inside].tolist(), rows[inside].tolist(), strict=True):
+                found[r].update(items.probes[int(h[p])])
+        for r, own in found.items():
+            cut = slice(t.first[r], t.first[r + 1])
+            for i in sorted(own):
+                got = items.match(t.words[cut], t.fillers[cut], i)
+                if got:
+                    yield a + r, i, got
+
+
 def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         for batch in batches:
             ids = batch.column("doc_id")
-            out = []
-            for a, _, data, offsets in W.texts(batch):
-                t = templates(data, offsets)
-                found = defaultdict(set)
-                for k in items.sizes:
-                    h = W.gram_hashes(t.words, k)
-                    places = items.hits(h)
-                    rows = np.searchsorted(t.first, places, "right") - 1
-                    inside = places + k <= t.first[rows + 1]
-                    for p, r in zip(places[inside].tolist(), rows[inside].tolist(), strict=True):
-                        found[r].update(items.probes[int(h[p])])
-                for r, own in found.items():
-                    cut = slice(t.first[r], t.first[r + 1])
-                    for i in sorted(own):
-                        got = items.match(t.words[cut], t.fillers[cut], i)
-                        if got:
-                            out.append((ids[a + r].as_py(), items.items[i][0], got[0], len(items.items[i][2]), got[1]))
+            out = [(ids[r].as_py(), items.items[i][0], n, len(items.items[i][2]), same) for r, i, (n, same) in _matches(batch, items)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "matched", "windows", "same_fillers"])
@@ -188,24 +192,47 @@ def _search(sent):
     return run
 
 
+def _drop(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for r, _, _ in _matches(batch, sent.value):
+                keep[r] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, width: int, share: float, block_words: int) -> Iterator:
+    """The items, a broadcast block of them at a time."""
+    spark = benchmark.sparkSession
+    block, size = [], 0
+    for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
+        n = text.count(" ") + 1
+        if block and size + n > block_words:
+            yield spark.sparkContext.broadcast(Items(block, width, share))
+            block, size = [], 0
+        block.append((item, text))
+        size += n
+    if block:
+        yield spark.sparkContext.broadcast(Items(block, width, share))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and item that it has: doc_id, item_id, matched (windows found), windows (of the item),
     same_fillers (found as it is, not only re-parameterised).
 
     Null and empty texts and items have no window and match nothing; of repeated rows each gives its own rows; null ids
     are carried as null; empty tables give an empty result; other columns are not looked at."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out, block, size = spark.createDataFrame([], _KIND), [], 0
+    out = docs.sparkSession.createDataFrame([], _KIND)
+    for sent in _blocks(benchmark, width, share, block_words):
+        out = out.unionByName(rows.mapInArrow(_search(sent), _KIND))
+    return out
 
-    def passed() -> DataFrame:
-        return out.unionByName(rows.mapInArrow(_search(spark.sparkContext.broadcast(Items(block, width, share))), _KIND))
 
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    for item, text in items.toLocalIterator():
-        n = text.count(" ") + 1
-        if block and size + n > block_words:
-            out, block, size = passed(), [], 0
-        block.append((item, text))
-        size += n
-    return passed() if block else out
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, that have no item; see contaminated()."""
+    for sent in _blocks(benchmark, width, share, block_words):
+        docs = docs.mapInArrow(_drop(sent), docs.schema)
+    return docs

@@ -16,6 +16,7 @@ from strandlab.llm.near_dedup import near_duplicates
 from strandlab.llm.pii import find
 from strandlab.llm.records import token_records
 from strandlab.llm.sharding import shards
+from strandlab.llm.substring_dedup import remove_repeats
 from strandlab.llm.toxicity import held_out, score, train
 
 
@@ -36,6 +37,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -67,9 +72,16 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_records": op4_token_records,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
@@ -77,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_kd_shards": op9_kd_shards,
     "op10_merge_dropout": op10_merge_dropout,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {

@@ -27,6 +27,7 @@ PREFIXES, COUNTS = (4, 5, 6, 7, 8), (1, 2, 3, 5)
 SAMPLE = 4_000
 #: Weight of the counterfactual term, of the squared weights, of a toxic row; steps of the fit.
 PENALTY, RIDGE, POSITIVE, STEPS = 4.0, 1.0, 6.0, 250
+THRESHOLD = 0.7
 
 #: Identity terms that stand for each other (fixed word list).
 IDENTITY = [
@@ -141,7 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     return _fit(sorted((r.y, bytes(r.slots)) for r in got), penalty)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
+def _scores(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray:
+    parts = [1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights[slots], b - a), -30, 30))) for a, b, rows, slots in _features(batch)]
+    return np.concatenate([*parts, np.zeros(0)])
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1, higher: likelier toxic), predicted (1 where score >= threshold) for every row of docs.
 
     Null and empty texts have the score of a text without words. Repeated rows and null ids are scored like others; an
@@ -150,17 +156,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for batch in batches:
-            ids = batch.column("doc_id")
-            for a, b, rows, slots in _features(batch):
-                z = bias + np.bincount(rows, w[slots], b - a)
-                s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            s = _scores(batch, sent.value, bias)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; scored as in score()."""
+    weights, bias = model
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, sent.value, bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no fit may see: crc32 of the id as text leaves 1 modulo 3."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
