@@ -10,7 +10,8 @@ fillers contradict each other is not. An item with fewer literal words than WIND
 one with fewer words than WINDOW is one window.
 
 A document that has SHARE of an item's windows has one of any (1 - SHARE) * n + 1 of them, so only that many, the rarest
-among the items, are looked up (probes); documents with a hit are then compared with the item's whole template. Items go
+among the items, are looked up (probes); items with slots are looked up word by word as well, so that one in small letters
+is found; documents with a hit are then compared with the item's whole template. Items go
 to the workers in blocks of BLOCK_WORDS words at most, one pass over the documents for each block."""
 
 from __future__ import annotations
@@ -103,7 +104,9 @@ class Items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             t = templates(data, np.array([0, len(data)]))
             if len(t.words):
-                self.items.append((item, t, _windows(t.words, width)))
+                plain = Templates(t.fillers, t.fillers, np.zeros(len(t.words), bool), t.first)
+                for form in (t, plain) if t.slots.any() else (t,):
+                    self.items.append((item, form, _windows(form.words, width)))
         shared = Counter(int(h) for _, _, hs in self.items for h in set(hs.tolist()))
         self.probes: dict[int, list[int]] = defaultdict(list)
         for i, (_, _, hs) in enumerate(self.items):
@@ -165,18 +168,24 @@ def _matches(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, int, tu
         t = templates(data, offsets)
         found = defaultdict(set)
         for k in items.sizes:
-            h = W.gram_hashes(t.words, k)
-            places = items.hits(h)
-            rows = np.searchsorted(t.first, places, "right") - 1
-            inside = places + k <= t.first[rows + 1]
-            for p, r in zip(places[inside].tolist(), rows[inside].tolist(), strict=True):
-                found[r].update(items.probes[int(h[p])])
+            for words in (t.words, t.fillers):
+                h = W.gram_hashes(words, k)
+                places = items.hits(h)
+                rows = np.searchsorted(t.first, places, "right") - 1
+                inside = places + k <= t.first[rows + 1]
+                for p, r in zip(places[inside].tolist(), rows[inside].tolist(), strict=True):
+                    found[r].update(items.probes[int(h[p])])
         for r, own in found.items():
             cut = slice(t.first[r], t.first[r + 1])
+            best: dict[int, tuple] = {}
             for i in sorted(own):
-                got = items.match(t.words[cut], t.fillers[cut], i)
+                item, form, _ = items.items[i]
+                got = items.match((t.words if form.slots.any() else t.fillers)[cut], t.fillers[cut], i)
                 if got:
-                    yield a + r, i, got
+                    old = best.get(item, (i, (0, False)))
+                    best[item] = (i, (max(got[0], old[1][0]), got[1] or old[1][1]))
+            for i, got in best.values():
+                yield a + r, i, got
 
 
 def _search(sent):

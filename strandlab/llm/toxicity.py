@@ -75,9 +75,10 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
         yield a, b, np.concatenate(rows), np.concatenate(slots)
 
 
-def slot_of(word: str) -> int:
-    raw = np.frombuffer(word.lower().encode(), np.uint8)
-    return int(_slots(W.word_hashes(raw, np.array([0]), np.array([len(raw)]), lower=True))[0])
+def slots_of(word: str) -> np.ndarray:
+    """What a word adds to a text's features, the word's own slot first."""
+    batch = pa.RecordBatch.from_pydict({"text": [word.lower()]})
+    return next(slots for _, _, _, slots in _features(batch))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +100,18 @@ def _fit(rows: list[tuple[float, bytes]], penalty: float) -> tuple[np.ndarray, f
     index = np.full(WEIGHTS, len(places), np.int32)  # the last weight stands for the slots that stay 0
     index[places] = np.arange(len(places))
     y = np.array([r[0] for r in rows], np.float32)
-    groups = [[slot_of(w) for w in g] for g in IDENTITY]
-    swaps = []  # a named term and the one that takes its place
+    groups = [[slots_of(w) for w in g] for g in IDENTITY]
+    swap, change, sign = [], [], []  # of each swap: the slots that go with the named term and come with the other
+    n_swaps = 0
     for i, own in enumerate(slots):
         for g in groups:
-            for k in np.flatnonzero(np.isin(g, own)):
-                swaps.append((index[g[k]], index[g[(k + 1 + i % (len(g) - 1)) % len(g)]]))
-    pairs = np.array(swaps, np.int64).reshape(-1, 2)
+            for k in np.flatnonzero(np.isin([t[0] for t in g], own)):
+                for way, term in ((1.0, g[k]), (-1.0, g[(k + 1 + i % (len(g) - 1)) % len(g)])):
+                    swap += [n_swaps] * len(term)
+                    change += index[term].tolist()
+                    sign += [way] * len(term)
+                n_swaps += 1
+    swap, change, sign = np.array(swap, np.int64), np.array(change, np.int64), np.array(sign)
     own = [index[x] for x in slots]
     own = [x[x < len(places)] for x in own]
     at = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
@@ -117,10 +123,9 @@ def _fit(rows: list[tuple[float, bytes]], penalty: float) -> tuple[np.ndarray, f
         z = bias + np.bincount(at, w[flat], n)
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y if len(y) else 0)) * (weight if len(y) else 0)
         g = np.bincount(flat, d[at], k) + RIDGE / n * w
-        if len(pairs):
-            change = (w[pairs[:, 0]] - w[pairs[:, 1]]) * penalty * 2 / n
-            np.add.at(g, pairs[:, 0], change)
-            np.add.at(g, pairs[:, 1], -change)
+        if n_swaps:
+            moved = np.bincount(swap, sign * w[change], n_swaps) * (2 * penalty / n)
+            g += np.bincount(change, sign * moved[swap], k)
         g[-1] = 0
         full = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full * full
