@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm import words as W
+from strandlab.llm.common import mapped
 
 WINDOW, SHARE = 5, 0.8
 #: Most words of benchmark items that a pass sends to the workers (about 50 bytes each).
@@ -236,12 +237,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], _KIND)
     for sent in _blocks(benchmark, width, share, block_words):
-        out = out.unionByName(rows.mapInArrow(_search(sent), _KIND))
+        out = out.unionByName(mapped(rows, _search(sent), _KIND))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, with all their columns, that have no item; see contaminated()."""
     for sent in _blocks(benchmark, width, share, block_words):
-        docs = docs.mapInArrow(_drop(sent), docs.schema)
+        docs = mapped(docs, _drop(sent), docs.schema)
     return docs

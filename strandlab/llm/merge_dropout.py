@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import per_row
+from strandlab.llm.common import mapped, per_row
 
 MARK = "▁"
 #: Chunks whose ids a worker remembers for each variant; when there are so many, it starts anew.
@@ -232,4 +232,4 @@ def encode_decode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     own); an empty table gives an empty result; other columns are not looked at."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, decoded_crc32 long, lossless boolean" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(_run(model, dropout, seed, variants, with_ids), kind)
+    return mapped(rows, _run(model, dropout, seed, variants, with_ids), kind)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm import words as W
-from strandlab.llm.common import components, per_row, stage
+from strandlab.llm.common import components, mapped, per_row, stage
 
 ROWS_PER_HALF, HALVES = 2, 14
 
@@ -92,7 +92,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> D
     documents that are in some pair are shingled again."""
     pairs = stage(pairs, "pairs")
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = rows.join(needed, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, grams array<long>")
+    sets = mapped(rows.join(needed, "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
     left = sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv"))
     common = F.size(F.array_intersect("gu", "gv"))
@@ -121,7 +121,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, width:
     open_ = stage(split(placed), "open")
     nodes = stage(open_.groupBy("rep", "l", "n").agg(F.min("least").alias("least")), "nodes")
     wanted = nodes.select(F.col("rep").alias("doc_id"), "l")
-    sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, grams array<long>")
+    sets = mapped(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
     grams = stage(sets.join(wanted, "doc_id").select("doc_id", "l", F.explode("grams").alias("g")), "grams")
     cross = grams.groupBy("g").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("g")
     bound = grams.join(cross, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("most"))
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, rows: i
 
 def _near_duplicates(docs: DataFrame, width: int, per_cent: int, rows: int, halves: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_docs = stage(texts.mapInArrow(_profiles(width, rows, halves), "doc_id long, n long, f1 long, f2 long, halves array<long>"), "profiles")
+    all_docs = stage(mapped(texts, _profiles(width, rows, halves), "doc_id long, n long, f1 long, f2 long, halves array<long>"), "profiles")
     some = all_docs.where("n > 0")
     classes = some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
     half = stage(classes.select("rep", "n", F.posexplode("halves").alias("i", "h")), "halves")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import new_folder, per_row, stage
+from strandlab.llm.common import mapped, new_folder, per_row, stage
 
 #: Chunks, and pieces, whose ids a worker remembers (about 0.2 kB each); when there are so many, it starts anew.
 CACHED = 700_000
@@ -141,7 +141,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, shards: int | N
     store, base = _filesystem(folder)
     store.create_dir(base, recursive=True)
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return stage(ordered.mapInArrow(_writer(folder, vocabulary, end_id), "shard long, name string, records long, tokens long"), "shards")
+    return stage(mapped(ordered, _writer(folder, vocabulary, end_id), "shard long, name string, records long, tokens long"), "shards")
 
 
 def read_record(folder: str, name: str, i: int) -> tuple[int, np.ndarray]:
@@ -193,7 +193,7 @@ def read_records(shards: DataFrame, folder: str) -> DataFrame:
         rows.append((r["shard"], r["name"], before))
         before += r["tokens"]
     table = spark.createDataFrame(rows, "shard long, name string, before long").repartitionByRange(max(1, len(rows)), "shard")
-    return table.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(table, _reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_records(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:

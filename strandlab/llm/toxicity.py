@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm import words as W
+from strandlab.llm.common import mapped
 
 BITS = 18
 WEIGHTS = 1 << BITS
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("y"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.select("y", "text").mapInArrow(_extract, "y double, slots binary").collect()  # `sample` rows at most
+    got = mapped(rows.select("y", "text"), _extract, "y double, slots binary").collect()  # `sample` rows at most
     return _fit(sorted((r.y, bytes(r.slots)) for r in got), penalty)
 
 
@@ -165,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
             s = _scores(batch, sent.value, bias)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
@@ -177,7 +178,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, sent.value, bias) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:
