@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import mapped, new_folder, per_row, stage
 
 #: Chunks, and pieces, whose ids a worker remembers (about 0.2 kB each); when there are so many, it starts anew.
-CACHED = 700_000
+CACHED = 1_000_000
 #: How the vocabulary's pre-tokenizer splits a text (fixed value).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 0
-#: Blanks next to other white space (pairs of characters), among ASCII and all characters.
+#: What sets a text apart: blanks next to other white space, or white space beyond ASCII.
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_ANY = tuple(dict.fromkeys(x for c in _SPACES for x in (" " + c, c + " ")))
-_ASCII = tuple(x for x in _ANY if x.isascii())
+_ASCII = tuple(dict.fromkeys(x for c in _SPACES if c.isascii() for x in (" " + c, c + " ")))
+_ANY = (*_ASCII, *(c for c in _SPACES if not c.isascii()))
 _MASK = 0xA282EAD8
 
 
@@ -62,29 +62,59 @@ class Encoder:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, unseen: list[str]) -> None:
+        """Ids of new pieces. Words with a blank before them, one after another, are split again as they are, so a
+        thousand of them are encoded as one text and told apart by their word numbers."""
+        words = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
+        others = [p for p in unseen if not (p[0] == " " and p[1:].isalpha())]
+        self.pieces.update(zip(others, self._raw(others), strict=True))
+        blocks = [words[a : a + 1000] for a in range(0, len(words), 1000)]
+        width = self.kind.itemsize
+        for block, e in zip(blocks, self.tokenizer.encode_batch(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            number = np.array(e.word_ids)
+            cuts = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(number)) * width
+            if len(cuts) != len(block) + 1:
+                self.pieces.update(zip(block, self._raw(block), strict=True))
+                continue
+            raw, at = np.array(e.ids, self.kind).tobytes(), cuts.tolist()
+            self.pieces.update(zip(block, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known, pieces, new, apart, plain = self.chunks, self.pieces, set(), [], []
         for cache in (known, pieces):
             if len(cache) > CACHED:
                 cache.clear()
+        get = known.get
         for i, text in enumerate(texts):
             if text[:1] == " " or text[-1:] == " " or "<|" in text or any(x in text for x in (_ASCII if text.isascii() else _ANY)):
                 apart.append((i, text))
             else:
                 head, *rest = text.split(" ")
                 apart.append((i, head))
-                plain.append((i, rest))
-                new.update(set(rest).difference(known))
-        own = {x: self.split(" " + x) for x in new}
-        unseen = list({p for x in own.values() for p in x}.difference(pieces))
-        pieces.update(zip(unseen, self._raw(unseen), strict=True))
+                got = list(map(get, rest))
+                if None in got:
+                    new.update([x for x, ids in zip(rest, got, strict=True) if ids is None])
+                plain.append((i, rest, got))
+        own = {x: self._parts(x) for x in new}
+        self._learn(list({p for x in own.values() for p in x}.difference(pieces)))
         for x, parts in own.items():
-            known[x] = b"".join([pieces[p] for p in parts])
+            known[x] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
         out = self._raw([x for _, x in apart])
-        for i, rest in plain:
-            out[i] += b"".join(map(known.__getitem__, rest))
+        for i, rest, got in plain:
+            if None in got:
+                got = [known[x] if ids is None else ids for x, ids in zip(rest, got, strict=True)]
+            out[i] += b"".join(got)
         return out
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The pre-tokenizer's pieces of a chunk with a blank before it; letters, and letters with a mark after them, are
+        the common cases."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.split(" " + chunk)
+
 
 @lru_cache(2)
 def encoder_of(vocabulary: str) -> Encoder:
