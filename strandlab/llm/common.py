@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandlab.functions.workers import mapped as mapped
 
 #: White space of all word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -39,28 +38,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each application: they then need no installation of their own."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        archive = Path(tempfile.mkdtemp()) / "strandlab-workers.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for path in sorted(root.rglob("*.py")):
-                z.write(path, path.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-
-
-def mapped(df: DataFrame, run: Callable, kind: str | T.StructType) -> DataFrame:
-    """df.mapInArrow(run, kind), on workers that have this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, kind)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
