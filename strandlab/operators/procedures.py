@@ -232,22 +232,25 @@ def second_order_gain(items: DataFrame, train: float = 0.7, alpha: float = 0.1,
 
 
 def fit_merges(docs: DataFrame, count: int) -> list[tuple[str, str]]:
-    """The most frequent adjacent pair of units, again and again (ties: the pair that comes first in text order): distinct words are
-    counted in a distributed aggregation, and the rounds work on those counts."""
-    words = docs.select(F.explode(tokens(F.col("text"))).alias("w")).groupBy("w").count()
-    top = words.orderBy(F.desc("count"), "w").limit(20_000).collect()
-    units = [([*r["w"]], r["count"]) for r in top]
+    """The most frequent adjacent pair of units, again and again (ties: the pair that sorts first). Distinct words are counted
+    once; each round is one aggregation of their pairs, of which the driver sees the winner."""
+    words = docs.select(F.explode(tokens(F.col("text"))).alias("w")).groupBy("w").count().persist()
     merges: list[tuple[str, str]] = []
-    for _ in range(count):
-        pairs: Counter = Counter()
-        for u, n in units:
-            for p in itertools.pairwise(u):
-                pairs[p] += n
-        if not pairs:
-            break
-        best = max(pairs.items(), key=lambda x: (x[1], [-ord(c) for c in "".join(x[0])]))[0]
-        merges.append(best)
-        units = [(apply_merge(u, best), n) for u, n in units]
+    try:
+        for _ in range(count):
+
+            def pairs(r: dict, merges: tuple = tuple(merges)) -> list[dict]:
+                units = [*r["w"]]
+                for m in merges:
+                    units = apply_merge(units, m)
+                return [{"a": a, "b": b, "n": r["count"]} for a, b in itertools.pairwise(units)]
+
+            best = rows_of(words, pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
+            if best is None:
+                break
+            merges.append((best["a"], best["b"]))
+    finally:
+        words.unpersist()
     return merges
 
 
