@@ -28,7 +28,7 @@ from strandlab.llm.common import mapped, per_row
 
 MARK = "▁"
 #: Chunks whose ids a worker remembers for each variant; when there are so many, it starts anew.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 
 
