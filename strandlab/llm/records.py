@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import mapped, new_folder, per_row, stage
 
 #: Chunks, and pieces, whose ids a worker remembers (about 0.2 kB each); when there are so many, it starts anew.
-CACHED = 1_000_000
+CACHED = 500_000
 #: How the vocabulary's pre-tokenizer splits a text (fixed value).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 0
