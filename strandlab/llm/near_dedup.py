@@ -87,17 +87,17 @@ def _sets(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * |intersection| >= per_cent * |union|, on full sets, as a table. Only the texts of
-    documents that are in some pair are shingled again."""
+def _checked(pairs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """A table of the pairs (u, v) with common, the size of the intersection of their full sets, and link, whether
+    100 * |intersection| >= per_cent * |union|. Only the texts of documents that are in some pair are shingled again."""
     pairs = stage(pairs, "pairs")
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
     sets = mapped(rows.join(needed, "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
     left = sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv"))
-    common = F.size(F.array_intersect("gu", "gv"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", common.alias("c"), (F.size("gu") + F.size("gv")).alias("s"))
-    return stage(both.where(100 * F.col("c").cast("long") >= per_cent * (F.col("s") - F.col("c")).cast("long")).select("u", "v"), "verified")
+    common = F.size(F.array_intersect("gu", "gv")).cast("long")
+    both = pairs.join(right, "v").join(left, "u").select("u", "v", common.alias("common"), (F.size("gu") + F.size("gv")).cast("long").alias("s"))
+    return stage(both.select("u", "v", "common", (100 * F.col("common") >= per_cent * (F.col("s") - F.col("common"))).alias("link")), "checked")
 
 
 def _near(a: str, b: str, per_cent: int):
@@ -105,39 +105,52 @@ def _near(a: str, b: str, per_cent: int):
     return 100 * F.least(a, b) >= per_cent * F.greatest(a, b)
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Pairs of one bucket that may link two components: u < v.
+def _open_pairs(members: DataFrame, halves: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Pairs of one bucket that may link two components: u < v. Of two such members one at least, x, isn't in the component of
+    the bucket's head c. What x and y can have in common has two bounds, and pairs for which they are too low go:
 
-    A member's link to another component lies within the shingles that it shares with members of other components. Where
-    these are too few for the smallest set that it could be linked with, it has no such link, and it goes before pairs are
-    formed. This is a bound, not an estimate: no link is lost."""
+    - the shingles of either that members of other components have as well (most);
+    - what both have in common with c (known from the check against c), plus the lesser of what each has besides c and
+      shares with other components: most - |x and c| for x, as all that x shares with c is shared with another component.
+
+    These are bounds, not estimates: no link is lost. A pair that shares many tables comes from the first of them alone."""
 
     def split(rows: DataFrame) -> DataFrame:
         """Rows of the buckets that have more than one component, with the smallest set in it."""
         keys = rows.groupBy("key").agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.min("n").alias("least")).where("l1 < l2")
         return rows.join(keys.select("key", "least"), "key")
 
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("l"))
+    own, heads = labels.select(F.col("node").alias("rep"), F.col("label").alias("l")), labels.select(F.col("node").alias("c"), F.col("label").alias("lc"))
+    placed = members.join(own, "rep", "left").join(heads, "c", "left").select("key", "rep", "n", "c", F.coalesce("l", "rep").alias("l"), F.coalesce("lc", "c").alias("lc"))
     open_ = stage(split(placed), "open")
     nodes = stage(open_.groupBy("rep", "l", "n").agg(F.min("least").alias("least")), "nodes")
     wanted = nodes.select(F.col("rep").alias("doc_id"), "l")
     sets = mapped(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
-    grams = stage(sets.join(wanted, "doc_id").select("doc_id", "l", F.explode("grams").alias("g")), "grams")
+    grams = sets.join(wanted, "doc_id").select("doc_id", "l", F.explode("grams").alias("g"))
+    grams = stage(grams, "grams")
     cross = grams.groupBy("g").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("g")
     bound = grams.join(cross, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("most"))
     smallest = F.greatest(F.col("least"), F.ceil(per_cent * F.col("n") / 100))
-
-    def enough(a, b):
-        return (100 + per_cent) * F.col("most") >= per_cent * (a + b)
-
-    active = nodes.join(bound, "rep").where(enough(F.col("n"), smallest)).select("rep", "most")
-    rows = stage(split(open_.drop("least").join(active, "rep")).drop("least"), "active")
-    a = rows.select("key", *(F.col(c).alias(f"u_{c}") for c in ("rep", "n", "l", "most", "c")))
-    b = rows.select("key", *(F.col(c).alias(f"v_{c}") for c in ("rep", "n", "l", "most")))
-    fits = (100 + per_cent) * F.least("u_most", "v_most") >= per_cent * (F.col("u_n") + F.col("v_n"))
-    tried = (F.col("u_rep") == F.col("u_c")) | (F.col("v_rep") == F.col("u_c"))
-    pairs = a.join(b, "key").where((F.col("u_rep") < F.col("v_rep")) & (F.col("u_l") != F.col("v_l")) & fits & ~tried & _near("u_n", "v_n", per_cent))
-    return pairs.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).distinct()
+    active = nodes.join(bound, "rep").where((100 + per_cent) * F.col("most") >= per_cent * (F.col("n") + smallest)).select("rep", "most")
+    active = active.join(halves.select("rep", "x", "y"), "rep")
+    rows = split(open_.drop("least").join(active, "rep")).drop("least")
+    known = checked.select("u", "v", "common")
+    rows = rows.withColumn("u", F.least("rep", "c")).withColumn("v", F.greatest("rep", "c")).join(known, ["u", "v"], "left")
+    inside = F.when(F.col("rep") == F.col("c"), F.col("n")).otherwise(F.coalesce("common", "n"))
+    outside = F.when(F.col("rep") == F.col("c"), F.lit(0)).when(F.col("common").isNull(), F.col("most")).when(F.col("l") != F.col("lc"), F.col("most") - F.col("common")).otherwise(F.least(F.col("n") - F.col("common"), F.col("most")))
+    rows = stage(rows.select("key", "rep", "n", "l", "lc", "c", "most", "x", "y", inside.alias("inside"), outside.alias("outside")), "active")
+    names = ("rep", "n", "l", "lc", "most", "inside", "outside", "x", "y")
+    a = rows.where("l <> lc").select("key", *(F.col(c).alias(f"a_{c}") for c in names))
+    b = rows.where("rep <> c").select("key", *(F.col(c).alias(f"b_{c}") for c in names))
+
+    def enough(most):
+        return (100 + per_cent) * most >= per_cent * (F.col("a_n") + F.col("b_n"))
+
+    once = (F.col("b_l") == F.col("b_lc")) | (F.col("a_rep") < F.col("b_rep"))
+    room = F.least("a_inside", "b_inside") + F.least("a_outside", "b_outside")
+    first = F.xxhash64(F.get(F.array_intersect("a_x", "b_x"), F.lit(0)), F.get(F.array_intersect("a_y", "b_y"), F.lit(0)))
+    pairs = a.join(b, "key").where((F.col("a_rep") != F.col("b_rep")) & (F.col("a_l") != F.col("b_l")) & once & enough(F.least("a_most", "b_most")) & enough(room) & _near("a_n", "b_n", per_cent)).where(first == F.col("key"))
+    return pairs.select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, rows: int = ROWS_PER_HALF, halves: int = HALVES) -> DataFrame:
@@ -161,13 +174,15 @@ def _near_duplicates(docs: DataFrame, width: int, per_cent: int, rows: int, halv
     x, y = (F.collect_list(F.when(side, F.col("h"))) for side in (F.col("i") < halves, F.col("i") >= halves))
     own = half.join(shared, "h").groupBy("rep", "n").agg(x.alias("x"), y.alias("y"), F.sum("c").alias("common"))
     keys = F.explode(F.flatten(F.transform("x", lambda x: F.transform("y", lambda y: F.xxhash64(x, y)))))
-    table = stage(own.where((F.size("x") > 0) & (F.size("y") > 0)).select("rep", "n", "common", keys.alias("key")), "tables")
+    own = stage(own.where((F.size("x") > 0) & (F.size("y") > 0)).withColumns({"x": F.sort_array("x"), "y": F.sort_array("y")}), "own")
+    table = stage(own.select("rep", "n", "common", keys.alias("key")), "tables")
     heads = table.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), F.col("rep"), F.col("n"))).alias("head"), F.count("*").alias("size")).where("size > 1")
     members = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key").drop("common"), "members")
     stars = members.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent))
-    links = _verified(stars.select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")).distinct(), texts, width, per_cent)
+    checked = _checked(stars.select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")).distinct(), texts, width, per_cent)
+    links = checked.where("link").select("u", "v")
     labels = stage(components(links), "labels")
-    more = _verified(_open_pairs(members, labels, texts, width, per_cent), texts, width, per_cent)
+    more = _checked(_open_pairs(members, own, labels, checked, texts, width, per_cent), texts, width, per_cent).where("link").select("u", "v")
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")
     reps = classes.select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
