@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,8 +85,6 @@ def split_units(surface: str | None) -> list[dict]:
 
 def units(df: DataFrame, column: str = "text") -> DataFrame:
     """df with units: kind, raw, start, end, alternatives of each span; the spans are the whole surface."""
-    import pandas as pd
-
     ship(df.sparkSession)
 
     @F.pandas_udf(UNIT_TYPE)
