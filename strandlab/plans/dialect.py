@@ -66,7 +66,7 @@ WORDS: dict[str, tuple[str, str]] = {
     "SIZE": ("CAST(size({0}) AS BIGINT)", "CAST(len({0}) AS BIGINT)"),
     "SUBALL": ("regexp_replace({0}, {1}, {2})", "regexp_replace({0}, {1}, {2}, 'g')"),
     "JSONK": ("CAST(get_json_object({0}, '$.k') AS BIGINT)", "CAST(json_extract_string({0}, '$.k') AS BIGINT)"),
-    "EPOCH": ("CAST(unix_timestamp({0}) AS BIGINT)", "CAST(floor(epoch({0})) AS BIGINT)"),
+    "EPOCH": ("(CAST(datediff(CAST({0} AS DATE), DATE'1970-01-01') AS BIGINT) * 86400 + hour({0}) * 3600 + minute({0}) * 60 + CAST(floor(second({0})) AS BIGINT))", "CAST(floor(epoch({0})) AS BIGINT)"),
 }
 
 
