@@ -93,6 +93,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(t) >= 4 THEN list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')))
+                      WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS g
+  FROM w
+), x AS (SELECT doc_id, unnest(g) AS h, len(g) AS n FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (SELECT u, v FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v AS u, u AS v FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.v, r.root FROM r JOIN e ON r.doc_id = e.u)
+SELECT s.doc_id, CAST(any_value(len(g)) AS BIGINT) AS n_shingles, min(root) AS component_id, s.doc_id = min(root) AS kept
+FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id
+""",
+    "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(t) - 18)) AS p, unnest(list_transform(range(1, len(t) - 18), lambda i: array_to_string(t[i:i + 19], ' '))) AS s FROM w WHERE len(t) >= 20),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM g),
+gone AS (SELECT DISTINCT doc_id, p + o AS q FROM r CROSS JOIN (SELECT unnest(range(0, 20)) AS o) WHERE k > 1),
+words AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS q, unnest(t) AS word FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS s, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
     "op6_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
