@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm import words as W
-from strandlab.llm.common import components, mapped, per_row, stage
+from strandlab.llm.common import components, mapped, per_row, release, stage
 
 ROWS_PER_HALF, HALVES = 2, 14
 
@@ -178,10 +178,13 @@ def _near_duplicates(docs: DataFrame, width: int, per_cent: int, rows: int, halv
     table = stage(own.select("rep", "n", "common", keys.alias("key")), "tables")
     heads = table.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), F.col("rep"), F.col("n"))).alias("head"), F.count("*").alias("size")).where("size > 1")
     members = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key").drop("common"), "members")
+    release(docs.sparkSession)
     stars = members.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent))
     checked = _checked(stars.select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")).distinct(), texts, width, per_cent)
+    release(docs.sparkSession)
     links = checked.where("link").select("u", "v")
     labels = stage(components(links), "labels")
+    release(docs.sparkSession)
     more = _checked(_open_pairs(members, own, labels, checked, texts, width, per_cent), texts, width, per_cent).where("link").select("u", "v")
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")

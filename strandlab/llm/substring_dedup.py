@@ -17,20 +17,18 @@ more rows than there are slices."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.llm import words as W
-from strandlab.llm.common import mapped, per_row, stage
+from strandlab.llm.common import mapped, per_row, release, stage
 
 WINDOW, GRAM = 20, 8
 
@@ -169,15 +167,6 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose tables are written. It does so when the driver's JVM notices that
-    nothing refers to them: first Python's own references must go, then two collections find the plans and what they held."""
-    gc.collect()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and with with_text kept_text.
 
@@ -195,13 +184,13 @@ def _remove_repeats(docs: DataFrame, window: int, gram: int, with_text: bool) ->
     others = F.count("*").over(Window.partitionBy("h", "salt")) > 1
     shared = stage(index.withColumn("sure", F.col("sure") | others).where("sure").select("doc_id", "h"), "shared")
     del index, others
-    _release(spark)
+    release(spark)
     wanted = shared.groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
     rows = mapped(texts.join(wanted, "doc_id"), _windows(window, gram), "h long, salt int, doc_id long, place int")
     at = F.row_number().over(Window.partitionBy("h", "salt").orderBy("doc_id", "place"))
     repeats = stage(rows.withColumn("at", at).where("at > 1 or salt > 0").select("doc_id", "place"), "repeats")
     del wanted, rows, at
-    _release(spark)
+    release(spark)
     places = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return mapped(texts.join(places, "doc_id", "left"), _cut(window, with_text), kind)
