@@ -1,10 +1,13 @@
 """Encoding with the merges of a SentencePiece model, some of them skipped by a keyed hash, and lossless decoding.
 
-An agenda holds the adjacent pairs whose concatenation is a piece, best score first, then leftmost. A pair that comes up
-is skipped, for good, when the keyed hash of (seed, variant, place, piece) falls below the dropout rate; else it is
-merged and its new neighbours join the agenda. What is left are pieces, or bytes of characters that the model lacks. A
-text's chunks (up to the next blank) take the variants in turn, the first by the hash of (seed, doc_id); merges never
-cross a chunk's start, so a worker remembers each chunk's ids for each variant.
+An agenda holds the adjacent pairs whose concatenation is a piece, best score first, then leftmost. Each pair that comes
+up is skipped, for good, with the dropout rate as its chance; else it is merged and its new neighbours join the agenda.
+What is left are pieces, or bytes of characters that the model lacks. Merges never cross the start of a chunk (up to the
+next blank).
+
+Every occurrence of a chunk draws anew: its key is a hash of (seed, doc_id, number of the chunk in the text), and hashes
+of the key give, by the inverse geometric law, how many pairs come up before the next that is skipped. A worker remembers
+what a chunk becomes for given numbers of skipped pairs, which saves work and does not bear on what is drawn.
 
 The character U+2581, which stands for the blank within pieces, is encoded by its bytes where a text has it; so decoding
 gives every text back."""
@@ -15,8 +18,10 @@ import math
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import mapped, per_row
 
 MARK = "▁"
-#: Chunks whose ids a worker remembers for each variant; when there are so many, it starts anew.
+#: Chunks whose ids a worker remembers, without skipped pairs and as many with some; when there are so many, it starts anew.
 CACHED_CHUNKS = 200_000
 _CHUNK = re.compile(r" *[^ ]+| +")
 
@@ -36,8 +41,34 @@ _CHUNK = re.compile(r" *[^ ]+| +")
 SHORT = 40
 
 
-def _hash(piece: str, key: int) -> int:
-    return (zlib.crc32(piece.encode(), key & 0xFFFFFFFF) * 0x9E3779B1 >> 7) & 0xFFFFFFFF
+_MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _mix(x):
+    """The finaliser of splitmix64, of a number or an array of uint64."""
+    if isinstance(x, int):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _MASK
+        return x ^ x >> 31
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+@lru_cache(8)
+def _gaps(below: int) -> list[int]:
+    """Ascending; a uniform number of 32 bits has as many pairs before the next skipped one as there are entries over it."""
+    kept, cut = 1 - below / 2**32, []
+    share = kept
+    while share * 2**32 >= 1:
+        cut.append(int(share * 2**32))
+        share *= kept
+    return cut[::-1]
+
+
+def _gap(key: int, k: int, cuts: list[int]) -> int:
+    """Pairs before the next skipped one, after k skipped ones."""
+    return len(cuts) - bisect_right(cuts, (_mix((key + k * _STEP) & _MASK) if k else key) >> 32)
 
 
 class Model:
@@ -67,18 +98,43 @@ class Model:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def segment(self, chunk: str, key: int, below: int) -> list[int]:
-        """Ids of one chunk (blanks as such). key: of the hash; below: hashes (32 bits) under it skip a merge."""
+        """Ids of one chunk (blanks as such). key: of the occurrence (64 bits); below: share of skipped pairs, times 2**32."""
+        return self.drawn(chunk, key, below)[0]
+
+    def drawn(self, chunk: str, key: int, below: int) -> tuple[list[int], int, tuple[int, ...]]:
+        """Ids as in segment(), how many pairs came up, and the numbers of the skipped ones among them."""
+        cuts = _gaps(below) if below else []
+        skip, came, skips = _gap(key, 0, cuts) if below else -1, 0, []
         own = [MARK if c == " " else c for c in chunk]
         n = len(own)
         if n <= SHORT and MARK not in chunk:
+            score, none = self.score.get, -math.inf
+            piece, agenda = own, [score(a + b, none) for a, b in zip(own, own[1:], strict=False)]
+            while agenda:
+                best = max(agenda)
+                if best == none:
+                    break
+                i = agenda.index(best)
+                came += 1
+                if came - 1 == skip:
+                    skips.append(skip)
+                    skip = came + _gap(key, len(skips), cuts)
+                    agenda[i] = none
+                    continue
+                both = piece[i] = piece[i] + piece[i + 1]
+                del piece[i + 1], agenda[i]
+                if i < len(agenda):
+                    agenda[i] = score(both + piece[i + 1], none)
+                if i:
+                    agenda[i - 1] = score(piece[i - 1] + both, none)
             out = []
-            for p in self._short(own, key, below):
+            for p in piece:
                 got = self.ids.get(p)
                 if got is not None:
                     out.append(got)
                 else:
                     out += [self.byte_id[b] for b in p.encode()]
-            return out
+            return out, came, tuple(skips)
         literal = {i for i, c in enumerate(chunk) if c == MARK} if MARK in chunk else ()
         score, piece = self.score, own[:]
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -93,7 +149,10 @@ class Model:
             j = after[i]
             if piece[i] is None or j >= n or piece[i] + piece[j] != both or i in literal or j in literal:
                 continue
-            if below and _hash(both, key + i) < below:
+            came += 1
+            if came - 1 == skip:
+                skips.append(skip)
+                skip = came + _gap(key, len(skips), cuts)
                 continue
             piece[i], piece[j] = both, None
             k = after[i] = after[j]
@@ -116,29 +175,7 @@ class Model:
                 out.append(got)
             else:
                 out += [self.byte_id[b] for b in p.encode()]
-        return out
-
-    def _short(self, own: list[str], key: int, below: int) -> list[str]:
-        """The agenda of a short chunk, as the plain list of its pairs' scores."""
-        get, none = self.score.get, -math.inf
-        piece, start = own, list(range(len(own)))
-        agenda = [get(a + b, none) for a, b in zip(own, own[1:], strict=False)]
-        while agenda:
-            best = max(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            both = piece[i] + piece[i + 1]
-            if below and _hash(both, key + start[i]) < below:
-                agenda[i] = none
-                continue
-            piece[i] = both
-            del piece[i + 1], start[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = get(both + piece[i + 1], none)
-            if i:
-                agenda[i - 1] = get(piece[i - 1] + both, none)
-        return piece
+        return out, came, tuple(skips)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text; the dummy prefix goes."""
@@ -150,23 +187,34 @@ class Model:
         return self.flat[at].tobytes()[1:]
 
 
-class _Known(dict):
-    """Ids of chunks, which are named without their first blank."""
-
-    def __init__(self, model: Model, key: int, below: int):
-        super().__init__()
-        self.model, self.key, self.below = model, key, below
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = array(self.model.code, self.model.segment(" " + chunk, self.key, self.below)).tobytes()
-        return got
-
-
 class Encoder:
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int, remembered: int = CACHED_CHUNKS):
         self.model = Model(path)
-        self.below, self.seed = int(dropout * 2**32), seed
-        self.known = [_Known(self.model, zlib.crc32(f"{seed}:{v}".encode()), self.below) for v in range(variants if dropout else 1)]
+        self.below, self.seed, self.remembered = int(dropout * 2**32), seed, remembered
+        self.cuts = _gaps(self.below) if self.below else []
+        self.ascending = np.array(self.cuts, np.uint64)
+        #: Pairs that come up and ids: of chunks (named without their first blank) without skipped pairs, of (chunk, skipped pairs).
+        self.whole: dict[str, tuple[int, bytes]] = {}
+        self.skipped: dict[tuple, tuple[int, bytes]] = {}
+
+    def _new(self, chunk: str, key: int) -> bytes:
+        ids, came, skips = self.model.drawn(" " + chunk, key, self.below)
+        got = came, array(self.model.code, ids).tobytes()
+        if skips:
+            self.skipped[chunk, *skips] = got
+        else:
+            self.whole[chunk] = got
+        return got[1]
+
+    def _some_skipped(self, chunk: str, key: int, skip: int) -> bytes:
+        """Ids of a known chunk of which pair number skip is the first skipped one."""
+        path = (chunk, skip)
+        while got := self.skipped.get(path):
+            skip += 1 + _gap(key, len(path) - 1, self.cuts)
+            if skip >= got[0]:
+                return got[1]
+            path += (skip,)
+        return self._new(chunk, key)
 
     def encode(self, doc_id: int | None, text: str) -> np.ndarray:
         if not text:
@@ -175,30 +223,40 @@ class Encoder:
             chunks = [x[1:] for x in _CHUNK.findall(" " + text)]
         else:
             chunks = text.split(" ")
-        v = len(self.known)
-        for k in self.known:
-            if len(k) > CACHED_CHUNKS:
+        for k in (self.whole, self.skipped):
+            if len(k) > self.remembered:
                 k.clear()
-        if v == 1:
-            out = map(self.known[0].__getitem__, chunks)
+        out, whole = [], self.whole.get
+        if not self.below:
+            for chunk in chunks:
+                got = whole(chunk)
+                out.append(got[1] if got else self._new(chunk, 0))
         else:
-            first, out = zlib.crc32(f"{self.seed}:{doc_id}".encode()) % v, [b""] * len(chunks)
-            for j in range(v):
-                out[j::v] = map(self.known[(first + j) % v].__getitem__, chunks[j::v])
+            first = int.from_bytes(blake2b(f"{self.seed}:{doc_id}".encode(), digest_size=8).digest())
+            keys = _mix(np.uint64(first) + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(_STEP))
+            skips = len(self.cuts) - np.searchsorted(self.ascending, keys >> np.uint64(32), "right")
+            for chunk, key, skip in zip(chunks, keys.tolist(), skips.tolist(), strict=True):
+                got = whole(chunk)
+                if got is None:
+                    out.append(self._new(chunk, key))
+                elif skip >= got[0]:
+                    out.append(got[1])
+                else:
+                    out.append(self._some_skipped(chunk, key, skip))
         return np.frombuffer(b"".join(out), self.model.kind)
 
 
 @lru_cache(2)
-def encoder_of(path: str, dropout: float, seed: int, variants: int) -> Encoder:
+def encoder_of(path: str, dropout: float, seed: int) -> Encoder:
     """A worker keeps its encoder, and what it has learnt, for its later tasks."""
-    return Encoder(path, dropout, seed, variants)
+    return Encoder(path, dropout, seed)
 
 
-def _run(path: str, dropout: float, seed: int, variants: int, with_ids: bool):
+def _run(path: str, dropout: float, seed: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or encoder_of(path, dropout, seed, variants)
+            encoder = encoder or encoder_of(path, dropout, seed)
             docs, column = batch.column("doc_id"), batch.column("text")
             for a in range(0, batch.num_rows, 500):
                 own = docs.slice(a, 500)
@@ -223,7 +281,7 @@ def _run(path: str, dropout: float, seed: int, variants: int, with_ids: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 17, variants: int = 2, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 17, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (ids as unsigned 32-bit numbers), n_bytes (UTF-8), decoded_crc32, lossless, and with
     with_ids the ids themselves. One pass over the texts without a shuffle.
 
@@ -232,4 +290,4 @@ def encode_decode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int =
     own); an empty table gives an empty result; other columns are not looked at."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, decoded_crc32 long, lossless boolean" + ", ids array<int>" * with_ids
-    return mapped(rows, _run(model, dropout, seed, variants, with_ids), kind)
+    return mapped(rows, _run(model, dropout, seed, with_ids), kind)

@@ -94,3 +94,24 @@ def test_both_agendas_agree(monkeypatch):
         monkeypatch.setattr(merge_dropout, "SHORT", 0)
         assert short == [model.segment(w, 99, below) for w in words]
         monkeypatch.setattr(merge_dropout, "SHORT", 40)
+
+
+def test_each_occurrence_draws_anew():
+    word = "internationalisation"
+    text = " ".join([word] * 3000)
+    rows = {}
+    for doc in (1, 2, None):
+        own = merge_dropout.Encoder(PIECES, 0.1, 17)
+        drawn = [own.encode(doc, text).tobytes() for _ in range(2)]
+        assert drawn[0] == drawn[1] == merge_dropout.Encoder(PIECES, 0.1, 17, 3).encode(doc, text).tobytes()
+        assert len(own.skipped) > 20
+        rows[doc] = drawn[0]
+    assert len(set(rows.values())) == 3
+    # what is remembered equals segmentation of each occurrence by itself; pairs are skipped at the dropout rate
+    own, ids, came, skipped = merge_dropout.Encoder(PIECES, 0.1, 17), [], 0, 0
+    first = int.from_bytes(merge_dropout.blake2b(b"17:1", digest_size=8).digest())
+    for k in range(3000):
+        got = own.model.drawn(" " + word, merge_dropout._mix((first + (k + 1) * merge_dropout._STEP) & merge_dropout._MASK), own.below)
+        ids += got[0]
+        came, skipped = came + got[1], skipped + len(got[2])
+    assert np.array(ids, own.model.kind).tobytes() == rows[1] and abs(skipped / came - 0.1) < 0.01
