@@ -55,6 +55,8 @@ WORDS: dict[str, tuple[str, str]] = {
     "PCT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
     "UNIT": ("(CAST(conv(substr(md5({0}), 1, 8), 16, 10) AS BIGINT) / 4294967296e0)", "(CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) / 4294967296e0)"),
+    "DRAW": ("CAST(floor(CAST(conv(substr(md5({0}), 1, 13), 16, 10) AS BIGINT) / 4503599627370496e0 * {1}) AS BIGINT)", "CAST(floor(CAST(('0x' || substr(md5({0}), 1, 13)) AS BIGINT) / 4503599627370496e0 * {1}) AS BIGINT)"),
+    "SPAN": ("explode(sequence({0}, {1}))", "unnest(range({0}, {1} + 1))"),
     "RANGE": ("explode(sequence(0, {0} - 1))", "unnest(range(0, {0}))"),
     "CHR": ("char({0})", "chr(CAST({0} AS INTEGER))"),
     "JOINED": ("array_join(transform(sort_array(collect_list(struct({1}, {0}))), x -> x.{2}), '')", "string_agg({0}, '' ORDER BY {1})"),

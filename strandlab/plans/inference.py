@@ -8,11 +8,14 @@ CORR = "covar_pop({0}, {1}) / nullif(stddev_pop({0}) * stddev_pop({1}), 0e0)"
 #: Similarity of benchmark items to each other: shared word types over the square root of the product.
 SIM = "w AS (SELECT DISTINCT item_id, tok FROM bwords), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id), x AS (SELECT a.item_id AS q, b.item_id AS c, count(*) AS k FROM w a JOIN w b ON a.tok = b.tok GROUP BY a.item_id, b.item_id), s AS (SELECT a.item_id AS q, b.item_id AS c, coalesce(k, 0) / sqrt(CAST(a.n AS DOUBLE) * b.n) + 1e-1 * ((a.item_id * 7 + b.item_id * 13) % 11) AS score FROM n a CROSS JOIN n b LEFT JOIN x ON x.q = a.item_id AND x.c = b.item_id)"
 
+#: Types with their share of 0..tot-1, [lo, hi), by exact counts, once for each cell of 16 numbers that it meets; needs k (tok, n).
+CELLS = "n AS (SELECT CAST(sum(n) AS BIGINT) AS tot FROM k), u AS (SELECT tok, n, CAST(sum(n) OVER (ORDER BY n DESC, tok ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM k), c AS (SELECT tok, hi - n AS lo, hi, @SPAN(CAST(floor((hi - n) / 16) AS BIGINT); CAST(floor((hi - 1) / 16) AS BIGINT)) AS cell FROM u)"
+
 NULLS = {
     "null_within_page_shuffle": ("tok", "WITH r AS (SELECT @RANGE(4) AS rep), p AS (SELECT doc_id, rep, tok, row_number() OVER (PARTITION BY doc_id, rep ORDER BY md5('shuffle:' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING)), pos) AS k FROM tok CROSS JOIN r), b AS (SELECT doc_id, rep, tok AS a, lead(tok) OVER (PARTITION BY doc_id, rep ORDER BY k) AS b FROM p) SELECT doc_id, CAST(rep AS BIGINT) AS rep, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS repeats, count(*) AS n FROM b GROUP BY doc_id, rep"),
     "null_symbol_shuffle": ("tok chars", "WITH p AS (SELECT doc_id, pos, c, row_number() OVER (PARTITION BY doc_id, pos ORDER BY md5('symbol:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(i AS STRING)), i) AS k FROM chars), b AS (SELECT doc_id, c AS a, lead(c) OVER (PARTITION BY doc_id, pos ORDER BY k) AS b FROM p) SELECT doc_id, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS repeats, count(b) AS pairs FROM b GROUP BY doc_id"),
-    "null_global_resample": ("tok", "WITH k AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok), u AS (SELECT tok, n, sum(n) OVER (ORDER BY n DESC, tok ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER () AS tot FROM k), d AS (SELECT doc_id, pos, CAST(floor(@UNIT('resample:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING)) * 1e6) AS BIGINT) AS x FROM tok WHERE pos < 5), v AS (SELECT tok, CAST(floor((hi - n) * 1e6 / tot) AS BIGINT) AS lo, CAST(floor(hi * 1e6 / tot) AS BIGINT) AS hi FROM u), c AS (SELECT tok, lo, hi, g AS cell FROM v JOIN (SELECT @RANGE(1000) AS g) z ON g BETWEEN floor(lo / 1000) AND floor(hi / 1000)) SELECT d.doc_id, d.pos, c.tok FROM d JOIN c ON c.cell = floor(d.x / 1000) AND d.x >= c.lo AND d.x < c.hi"),
-    "null_iid_symbol": ("tok chars", "WITH k AS (SELECT c, count(*) AS n FROM chars GROUP BY c), u AS (SELECT c, (sum(n) OVER (ORDER BY c ROWS UNBOUNDED PRECEDING) - n) / sum(n) OVER () AS lo, sum(n) OVER (ORDER BY c ROWS UNBOUNDED PRECEDING) / sum(n) OVER () AS hi FROM k), d AS (SELECT doc_id, pos, i, @UNIT('iid:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(i AS STRING)) AS x FROM chars WHERE pos < 3) SELECT d.doc_id, d.pos, d.i, u.c FROM d JOIN u ON d.x >= u.lo AND d.x < u.hi"),
+    "null_global_resample": ("tok", f"WITH k AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok), {CELLS}, d AS (SELECT doc_id, pos, @DRAW('resample:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING); tot) AS x FROM tok CROSS JOIN n) SELECT d.doc_id, d.pos, c.tok FROM d JOIN c ON c.cell = CAST(floor(d.x / 16) AS BIGINT) AND d.x >= c.lo AND d.x < c.hi"),
+    "null_iid_symbol": ("tok chars", "WITH k AS (SELECT c, count(*) AS n FROM chars GROUP BY c), n AS (SELECT CAST(sum(n) AS BIGINT) AS tot FROM k), u AS (SELECT c, n, tot, CAST(sum(n) OVER (ORDER BY c ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM k CROSS JOIN n), v AS (SELECT c, hi - n AS lo, hi, @SPAN(CAST(floor((hi - n) * 1024e0 / tot) AS BIGINT); CAST(floor((hi - 1) * 1024e0 / tot) AS BIGINT)) AS cell FROM u), d AS (SELECT doc_id, pos, i, tot, @DRAW('iid:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(i AS STRING); tot) AS x FROM chars CROSS JOIN n) SELECT d.doc_id, d.pos, d.i, v.c FROM d JOIN v ON v.cell = CAST(floor(d.x * 1024e0 / d.tot) AS BIGINT) AND d.x >= v.lo AND d.x < v.hi"),
     "mechanism_study": ("tok", "WITH r AS (SELECT @RANGE(17) AS rep), f AS (SELECT 'page_shuffle' AS family UNION ALL SELECT 'global_shuffle'), p AS (SELECT family, rep, doc_id, tok, row_number() OVER (PARTITION BY family, rep, doc_id ORDER BY CASE WHEN rep = 0 THEN '' ELSE md5(family || ':' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING)) END, pos) AS k FROM tok CROSS JOIN r CROSS JOIN f), b AS (SELECT family, rep, doc_id, tok AS a, lead(tok) OVER (PARTITION BY family, rep, doc_id ORDER BY k) AS b, lag(k) OVER (PARTITION BY family, rep, doc_id, tok ORDER BY k) AS before, k FROM p), m AS (SELECT family, rep, 'adjacent_repeat' AS metric, sum(CASE WHEN a = b THEN 1 ELSE 0 END) / count(b) AS value FROM b GROUP BY family, rep UNION ALL SELECT family, rep, 'window20_recurrence' AS metric, sum(CASE WHEN k - before <= 20 THEN 1 ELSE 0 END) / count(*) AS value FROM b GROUP BY family, rep), o AS (SELECT family, metric, value FROM m WHERE rep = 0), s AS (SELECT o.family, o.metric, max(o.value) AS observed, avg(m.value) AS null_mean, stddev_samp(m.value) AS null_sd, (1 + sum(CASE WHEN m.value >= o.value THEN 1 ELSE 0 END)) / (1 + count(*)) AS p FROM o JOIN m ON m.family = o.family AND m.metric = o.metric AND m.rep > 0 GROUP BY o.family, o.metric), h AS (SELECT *, row_number() OVER (ORDER BY p, family, metric) AS i, count(*) OVER () AS c FROM s) SELECT family, metric, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(p, 6) AS p, round(least(1e0, max(p * (c - i + 1)) OVER (ORDER BY p, i ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h"),
     "holm_adjust": ("", "WITH t AS (SELECT event_type, (1 + sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)) / (1 + count(*)) / 10 AS p FROM events GROUP BY event_type), h AS (SELECT event_type, p, row_number() OVER (ORDER BY p, event_type) AS i, count(*) OVER () AS c FROM t) SELECT event_type, round(p, 6) AS p, round(least(1e0, max(p * (c - i + 1)) OVER (ORDER BY p, i ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h"),
     "worst_view_conjunction": ("tok", "WITH v AS (SELECT lang, source, avg(len) - 4 AS effect, 1 / (1e0 + count(*)) AS p FROM tok GROUP BY lang, source) SELECT source, round(max(p), 8) AS worst_p, CASE WHEN bool_and(effect > 0) THEN 1 ELSE 0 END AS all_positive, count(*) AS n_views FROM v GROUP BY source"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 from itertools import pairwise
 from pathlib import Path
@@ -156,3 +157,33 @@ def test_learning_keeps_groups_apart(spark):
         folds.setdefault(r.doc_id, set()).add(r.fold)
         assert 0 <= r.score <= 1
     assert all(len(f) == 1 for f in folds.values())
+
+
+def drawn(key, tot):
+    from hashlib import md5
+
+    return math.floor(int(md5(key.encode()).hexdigest()[:13], 16) / 2**52 * tot)
+
+
+def test_global_nulls_draw_for_every_position(spark):
+    """Against draws made one by one from the exact cumulative counts."""
+    from bisect import bisect_right
+    from collections import Counter
+    from itertools import accumulate
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    tokens = {(r.doc_id, i): t for r in docs for i, t in enumerate(x for x in re.split("[ \\t\\r\\n]+", (r.text or "").lower()) if x)}
+    counts = sorted(Counter(tokens.values()).items(), key=lambda x: (-x[1], x[0].encode()))
+    ends = list(accumulate(n for _, n in counts))
+    want = {k: counts[bisect_right(ends, drawn(f"resample:{k[0]}:{k[1]}", len(tokens)))][0] for k in tokens}
+    rows = catalogue.QUERIES["null_global_resample"](spark, SF).collect()
+    assert len(rows) == len(tokens) and {(r.doc_id, r.pos): r.tok for r in rows} == want
+    single = {t for t, n in counts if n == 1}
+    assert len(set(want.values()) & single) > 0.5 * len(single)
+
+    chars = {(*k, i): c for k, t in tokens.items() for i, c in enumerate(t)}
+    symbols = sorted(Counter(chars.values()).items(), key=lambda x: x[0].encode())
+    ends = list(accumulate(n for _, n in symbols))
+    rows = catalogue.QUERIES["null_iid_symbol"](spark, SF).collect()
+    assert len(rows) == len(chars)
+    assert all(r.c == symbols[bisect_right(ends, drawn(f"iid:{r.doc_id}:{r.pos}:{r.i}", len(chars)))][0] for r in rows)
