@@ -15,7 +15,8 @@ QUERIES = {
     "adjacent_edit1_rate": ("tok", "WITH b AS (SELECT doc_id, tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok) SELECT doc_id, round(sum(CASE WHEN @EDIT1(a; b) THEN 1 ELSE 0 END) / count(*), 6) AS edit1_rate FROM b WHERE b IS NOT NULL GROUP BY doc_id"),
     "window20_exact_recurrence": ("tok", "WITH g AS (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id, tok ORDER BY pos) AS gap FROM tok) SELECT doc_id, round(sum(CASE WHEN gap <= 20 THEN 1 ELSE 0 END) / count(*), 6) AS recurrence FROM g GROUP BY doc_id"),
     "recurrence_median": ("tok", "WITH g AS (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id, tok ORDER BY pos) AS gap FROM tok) SELECT doc_id, round(CAST(median(gap) AS DOUBLE), 6) AS median_gap, count(gap) AS n_gaps FROM g GROUP BY doc_id"),
-    "vocabulary_growth_pooled": ("tok", "WITH f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, tok ORDER BY pos) AS k FROM tok), c AS (SELECT doc_id, pos + 1 AS prefix, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS types FROM f) SELECT doc_id, CAST(prefix AS BIGINT) AS prefix, CAST(types AS BIGINT) AS types FROM c WHERE prefix IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384)"),
+    # Rows without doc_id: all documents after another, by doc_id.
+    "vocabulary_growth_pooled": ("tok", "WITH d AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), o AS (SELECT doc_id, n, CAST(sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS earlier FROM d), f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, tok ORDER BY pos) AS k FROM tok), c AS (SELECT doc_id, pos + 1 AS prefix, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS types FROM f), g AS (SELECT tok, min(earlier + pos + 1) AS at FROM tok JOIN o ON tok.doc_id = o.doc_id GROUP BY tok), t AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM d), b AS (SELECT CAST(power(2, e) AS BIGINT) AS prefix, n FROM t CROSS JOIN (SELECT @RANGE(52) AS e) z), q AS (SELECT prefix FROM b WHERE prefix <= n UNION SELECT n AS prefix FROM t UNION SELECT CAST(floor(n / 2) AS BIGINT) AS prefix FROM t) SELECT c.doc_id, CAST(prefix AS BIGINT) AS prefix, CAST(types AS BIGINT) AS types FROM c JOIN d ON c.doc_id = d.doc_id WHERE (prefix & (prefix - 1)) = 0 OR prefix = n OR prefix = CAST(floor(n / 2) AS BIGINT) UNION ALL SELECT CAST(NULL AS BIGINT) AS doc_id, prefix, count(*) AS types FROM q JOIN g ON g.at <= q.prefix GROUP BY prefix"),
     "vocabulary_growth_page_reset": ("ltok", "WITH f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line, tok ORDER BY pos) AS k, pos, count(*) OVER (PARTITION BY doc_id, line) AS n FROM ltok) SELECT doc_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS discoveries, round(sum(CASE WHEN k = 1 AND 2 * pos >= n THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN 2 * pos >= n THEN 1 ELSE 0 END), 0), 6) AS second_half_novelty FROM f GROUP BY doc_id"),
     "heaps_fit": ("tok", "WITH f AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id, tok ORDER BY pos) AS k FROM tok), c AS (SELECT doc_id, pos + 1 AS prefix, n, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS types FROM f), p AS (SELECT DISTINCT doc_id, prefix, types, n FROM c CROSS JOIN (SELECT @RANGE(8) AS g) WHERE n >= 70 AND prefix = greatest(10, CAST(floor(n * (g + 1) / 8) AS BIGINT))) SELECT doc_id, round(regr_slope(ln(CAST(types AS DOUBLE)), ln(CAST(prefix AS DOUBLE))), 6) AS heaps_exponent, round(regr_r2(ln(CAST(types AS DOUBLE)), ln(CAST(prefix AS DOUBLE))), 6) AS heaps_r2 FROM p GROUP BY doc_id"),
     "length_autocorrelation": ("tok", f"WITH g AS (SELECT @RANGE(20) AS g), x AS (SELECT a.doc_id, g + 1 AS lag, CAST(a.len AS DOUBLE) AS x, CAST(b.len AS DOUBLE) AS y FROM tok a CROSS JOIN g JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + g + 1 WHERE g + 1 IN (1, 2, 5, 10, 20)) SELECT doc_id, CAST(lag AS BIGINT) AS lag, round({CORR.format('x', 'y')}, 6) AS r FROM x GROUP BY doc_id, lag HAVING count(*) >= 3"),

@@ -189,6 +189,20 @@ def test_global_nulls_draw_for_every_position(spark):
     assert all(r.c == symbols[bisect_right(ends, drawn(f"iid:{r.doc_id}:{r.pos}:{r.i}", len(chars)))][0] for r in rows)
 
 
+def growth_of(tokens):
+    at, n = {1 << e for e in range(40)} | {len(tokens), len(tokens) // 2}, len(tokens)
+    return {(k, len(set(tokens[:k]))) for k in at if 0 < k <= n}
+
+
+def test_vocabulary_growth_to_the_end(spark, tmp_path):
+    texts = {1: " ".join(f"w{i % 9001}" for i in range(33_000)), 2: "a b a", 3: "one", 4: "w1 w2 a new b"}
+    spark.createDataFrame([(k, "en", "x", t) for k, t in texts.items()], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalogue.QUERIES["vocabulary_growth_pooled"](spark, str(tmp_path)).collect()
+    got = {k: {(r.prefix, r.types) for r in rows if r.doc_id == k} for k in (*texts, None)}
+    assert got == {k: growth_of(t.split()) for k, t in texts.items()} | {None: growth_of(" ".join(texts.values()).split())}
+    assert len(rows) == sum(map(len, got.values()))
+
+
 def test_global_family_draws_from_the_corpus(spark, tmp_path):
     """Documents of one repeated word each: shuffles within them change nothing, draws from all of them do."""
     rows = [(k, "en", "x", " ".join([w] * 60)) for k, w in enumerate("abcdefgh")]
