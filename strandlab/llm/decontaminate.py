@@ -2,7 +2,9 @@
 
 Words are runs of characters that are neither white space nor ASCII punctuation (a point, comma or colon between digits
 belongs to the number), A-Z lower-cased. They become templates: a number turns into <num>, a unit after a number into
-<unit>, a capitalised word that doesn't begin a sentence into <name>; other words stay. Windows of WINDOW template words
+<unit> (also one joined to its number), a capitalised word that doesn't begin a sentence into <name>; other words stay. In
+the wide form a capitalised word that begins a sentence is a <name> too unless it is in COMMON, and names with only a
+blank between them are one. Windows of WINDOW template words
 of the benchmark items are looked up among the windows of all documents. A document has an item when at least SHARE of
 the item's windows agree along alignments whose slots are consistent: within one alignment a filler of the item goes
 with one filler of the document. So a question with other numbers or names is caught, and a text of the same shape whose
@@ -38,6 +40,13 @@ UNITS = (
     "meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres "
     "dollar dollars euro euros cent cents percent kmh mph hz khz mhz ghz w kw v a j kj cal kcal degree degrees"
 ).split()
+#: Words that are no names where they begin a sentence (fixed word list).
+COMMON = (
+    "a about after all also although an and another any are as at because before both but by can could did do does during each either every few find finally "
+    "first for four five from give given had has have he her here his how i if in instead is it its last later let many more most my new next no not now of on "
+    "once one only or other our over second she should since so some such ten than that the their them then there these they third this those though three "
+    "through to today two under until up was we well were what when where whether which while who whose why will with without would yes you your"
+).split()
 
 
 def _hash_of(word: str) -> np.uint64:
@@ -46,6 +55,7 @@ def _hash_of(word: str) -> np.uint64:
 
 
 _UNITS = np.sort(np.array([_hash_of(u) for u in UNITS], np.uint64))
+_COMMON = np.sort(np.array([_hash_of(u) for u in COMMON], np.uint64))
 _NUM, _UNIT, _NAME = W.mix(np.array([11, 12, 13], np.uint64))
 _PLAIN = np.ones(256, bool)
 _PLAIN[:128] = [chr(c).isalnum() for c in range(128)]
@@ -61,7 +71,12 @@ class Templates:
     first: np.ndarray
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
+def _among(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
+
+
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Templates, Templates]:
+    """Strict and wide form."""
     n = len(data)
     digit = (data >= 48) & (data <= 57)
     inner = np.zeros(n, bool)
@@ -72,7 +87,15 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     solid = _PLAIN[data] | inner
     starts, ends, first = W.spans(np.where(solid, data, np.uint8(32)), offsets)
     if not len(starts):
-        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first)
+        none = Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first)
+        return none, none
+    stops = np.append(np.flatnonzero(~(digit | inner)), n)
+    cut = stops[np.searchsorted(stops, starts)]
+    joined = np.flatnonzero(digit[starts] & (cut < ends))
+    if len(joined):
+        joined = joined[_among(W.word_hashes(data, cut[joined], ends[joined], lower=True), _UNITS)]
+        cut = cut[joined]
+        starts, ends, first = np.insert(starts, joined + 1, cut), np.insert(ends, joined, cut), first + np.searchsorted(joined, first)
     raw = W.word_hashes(data, starts, ends, lower=True)
     strange = np.concatenate([[0], np.cumsum(~(digit | inner))])
     number = strange[ends] == strange[starts]
@@ -80,8 +103,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     row_start[first[:-1][first[:-1] < first[1:]]] = True
     after = np.zeros(len(starts), bool)
     after[1:] = number[:-1] & ~row_start[1:]
-    at = np.minimum(np.searchsorted(_UNITS, raw), len(_UNITS) - 1)
-    unit = after & (_UNITS[at] == raw)
+    unit = after & _among(raw, _UNITS)
     upper = (data[starts] >= 65) & (data[starts] <= 90) & (ends - starts > 1)
     seen = (data != 32) & ((data < 9) | (data > 13)) & (data != 34) & (data != 39) & (data != 40)
     last = np.concatenate([[-1], np.maximum.accumulate(np.where(seen, np.arange(n), -1))])
@@ -89,7 +111,19 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     opens = row_start | (before == 46) | (before == 33) | (before == 63) | (before == 58)
     name = upper & ~opens
     words = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, raw)))
-    return Templates(words, raw, number | unit | name, first)
+    strict = Templates(words, raw, number | unit | name, first)
+    more = name | (upper & opens & ~_among(raw, _COMMON))
+    goes_on = np.zeros(len(starts), bool)
+    goes_on[1:] = more[1:] & more[:-1] & ~opens[1:] & (starts[1:] == ends[:-1] + 1) & (data[ends[:-1]] == 32)
+    heads = np.flatnonzero(~goes_on)
+    if len(heads) < len(starts):
+        # of a run: the sum of its words' hashes, each turned by its place in the run
+        place = np.arange(len(starts)) - np.repeat(heads, np.diff(np.append(heads, len(starts))))
+        fillers = np.add.reduceat(np.where(place > 0, W.mix(raw + place.astype(np.uint64)), raw), heads)
+    else:
+        fillers = raw[heads]
+    wide = Templates(np.where(more, _NAME, words)[heads], fillers, (strict.slots | more)[heads], np.searchsorted(heads, first))
+    return strict, wide
 
 
 def _windows(words: np.ndarray, width: int) -> np.ndarray:
@@ -101,13 +135,18 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], width: int, share: float):
         self.width, self.share, self.items = width, share, []
+        self.is_wide: list[bool] = []
         for item, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
-            t = templates(data, np.array([0, len(data)]))
+            t, wide = templates(data, np.array([0, len(data)]))
             if len(t.words):
                 plain = Templates(t.fillers, t.fillers, np.zeros(len(t.words), bool), t.first)
                 for form in (t, plain) if t.slots.any() else (t,):
                     self.items.append((item, form, _windows(form.words, width)))
+                    self.is_wide.append(False)
+                if wide.slots.any():
+                    self.items.append((item, wide, _windows(wide.words, width)))
+                    self.is_wide.append(True)
         shared = Counter(int(h) for _, _, hs in self.items for h in set(hs.tolist()))
         self.probes: dict[int, list[int]] = defaultdict(list)
         for i, (_, _, hs) in enumerate(self.items):
@@ -166,22 +205,22 @@ _KIND = "doc_id long, item_id long, matched long, windows long, same_fillers boo
 def _matches(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, int, tuple[int, bool]]]:
     """Row, item and match of what the rows of a batch have."""
     for a, _, data, offsets in W.texts(batch):
-        t = templates(data, offsets)
+        t, wide = templates(data, offsets)
         found = defaultdict(set)
         for k in items.sizes:
-            for words in (t.words, t.fillers):
+            for words, first in ((t.words, t.first), (t.fillers, t.first), (wide.words, wide.first)):
                 h = W.gram_hashes(words, k)
                 places = items.hits(h)
-                rows = np.searchsorted(t.first, places, "right") - 1
-                inside = places + k <= t.first[rows + 1]
+                rows = np.searchsorted(first, places, "right") - 1
+                inside = places + k <= first[rows + 1]
                 for p, r in zip(places[inside].tolist(), rows[inside].tolist(), strict=True):
                     found[r].update(items.probes[int(h[p])])
         for r, own in found.items():
-            cut = slice(t.first[r], t.first[r + 1])
+            cut, wide_cut = slice(t.first[r], t.first[r + 1]), slice(wide.first[r], wide.first[r + 1])
             best: dict[int, tuple] = {}
             for i in sorted(own):
                 item, form, _ = items.items[i]
-                got = items.match((t.words if form.slots.any() else t.fillers)[cut], t.fillers[cut], i)
+                got = items.match(wide.words[wide_cut], wide.fillers[wide_cut], i) if items.is_wide[i] else items.match((t.words if form.slots.any() else t.fillers)[cut], t.fillers[cut], i)
                 if got:
                     old = best.get(item, (i, (0, False)))
                     best[item] = (i, (max(got[0], old[1][0]), got[1] or old[1][1]))

@@ -112,3 +112,18 @@ def test_pipeline_stages(spark):
             assert out.columns == df.columns and out.count() <= len(rows), name
     assert stages["exact dedup"](spark, table(spark, MESSY), SF).count() == 3
     assert stages["near dedup"](spark, table(spark, MESSY), SF).count() == 4
+
+
+def test_names_that_open_sentences_runs_and_joined_units(spark):
+    item = "Tom has 12 apples and gives 5 apples to Anna. Tom then buys 7 apples. How many apples does Tom have now?"
+    trip = "A parcel of 5 kg is sent from Paris to the old mill and comes back to Paris after 3 days with a note"
+    rows = [
+        (1, "Maria has 30 apples and gives 8 apples to Ben. Maria then buys 9 apples. How many apples does Maria have now?"),
+        (2, "Maria has 30 apples and gives 8 apples to Ben. Peter then buys 9 apples. How many apples does Carl have now?"),
+        (3, "A parcel of 7kg is sent from New York to the old mill and comes back to New York after 4 days with a note"),
+        (4, "A parcel of 7kg is sent from New York to the old mill and comes back to San Jose after 4 days with a note"),
+        (5, item), (6, trip),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, trip)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.same_fillers for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (3, 2): False, (5, 1): True, (6, 2): True}
