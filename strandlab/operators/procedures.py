@@ -183,12 +183,12 @@ def modal_consistency(plain: np.ndarray, pairs: np.ndarray) -> float:
     return float((table.max(0).sum() + table.max(1).sum()) / (2 * max(1, len(plain))))
 
 
-def order_search(items: DataFrame, width: int = 4, most: int = 400) -> DataFrame:
+def order_search(items: DataFrame, width: int = 4) -> DataFrame:
     """Encipher each item (fractionation over a 5 x 5 square, then columns in a hash-chosen order), try every order of the width
     and rank them by modal consistency with the plain text: the true order's place among all."""
 
     def one(r: dict) -> list[dict]:
-        plain = letters(r["text"] or "")[:most]
+        plain = letters(r["text"] or "")
         if not plain:
             return []
         square = list(range(25))

@@ -211,3 +211,9 @@ def test_global_family_draws_from_the_corpus(spark, tmp_path):
     page, drawn_ = got["page_shuffle", "adjacent_repeat"], got["global_resample", "adjacent_repeat"]
     assert page.observed == page.null_mean == drawn_.observed == 1 and page.p == 1
     assert 0.05 < drawn_.null_mean < 0.25 and drawn_.p < 0.06 and len(got) == 4
+
+
+def test_order_search_scores_whole_items(spark):
+    """The first 400 letters are one letter, for which most orders tie; the rest tells them apart."""
+    rank = lambda x: procedures.order_search(spark.createDataFrame([(1, x)], "item_id long, text string")).first()["true_rank"]
+    assert rank("a" * 400) > rank("a" * 400 + "the quick brown fox jumps over lazy dogs " * 20)
