@@ -1,16 +1,23 @@
 """Toxicity by a counterfactually regularised classifier.
 
-Features are the distinct lower-cased words of the whole text, and the beginnings that one, two, three or five of these
-words share (languages build slurs by compounding), hashed into a fixed number of weights; the score is the logistic of
-their sum plus a bias. Of every training text that names a group, a copy with the identity terms swapped for
-others joins the fit, and a penalty on the squared difference of the two logits keeps the score from depending on which
-group is named: a neutral mention can't raise it. Training minimises log loss + ridge + that penalty by full-batch Adam on
-a bounded sample of labelled rows (SAMPLE rows at most, chosen by a hash of the id); scoring is one pass over all
-texts with the weights as the only thing sent to the workers (8 bytes * WEIGHTS, whatever the corpus)."""
+Features are the distinct lower-cased words of the whole text, and the beginnings that several of these words share,
+by how many have them and how large their share is (languages build slurs by compounding), hashed into a fixed number of
+weights; the score is the logistic of their sum plus a bias.
+
+Counterfactuals are texts: of a labelled sentence that names a group, a copy in which the identity terms stand for other
+ones; of a part of the other sentences (one in INJECT, by a hash of the id), a copy that mentions one group and a copy that
+mentions another at the same place. Copies run through the same features, join the fit with the sentence's label, and a
+penalty on the squared difference of the two copies' logits (and, for mentions put in, of the copy's and the sentence's)
+keeps the score from depending on which group is named: a neutral mention can't raise it. Training minimises log loss +
+ridge + that penalty by full-batch Adam on a bounded sample of labelled rows (SAMPLE rows at most, chosen by a hash of the
+id); scoring is one pass over all texts with the weights as the only thing sent to the workers (8 bytes * WEIGHTS,
+whatever the corpus)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +27,30 @@ from pyspark.sql import functions as F
 from strandlab.llm import words as W
 from strandlab.llm.common import mapped
 
-BITS = 18
+BITS = 20
 WEIGHTS = 1 << BITS
-#: Bytes of the word beginnings that are features, and the numbers of distinct words with one that are.
-PREFIXES, COUNTS = (4, 5, 6, 7, 8), (1, 2, 3, 5)
-#: Most labelled rows that a fit looks at.
-SAMPLE = 4_000
+#: Bytes of the word beginnings that are features; the numbers of distinct words with one, and the shares of all words
+#: (two such words at least), that are.
+PREFIXES, COUNTS, SHARES = (4, 5, 6, 7, 8), (1, 2, 3, 5), (1 / 160, 1 / 100, 1 / 64)
+#: Most labelled rows that a fit looks at; most features that it keeps, and how clearly they must tell the labels apart.
+SAMPLE, FEATURES, CLEAR = 12_000, 40_000, 4.0
+#: Of the sentences without an identity term, one in so many gets two copies with one.
+INJECT = 8
 #: Weight of the counterfactual term, of the squared weights, of a toxic row; steps of the fit.
-PENALTY, RIDGE, POSITIVE, STEPS = 4.0, 1.0, 6.0, 250
+PENALTY, RIDGE, POSITIVE, STEPS = 4.0, 0.3, 4.0, 200
 THRESHOLD = 0.7
 
 #: Identity terms that stand for each other (fixed word list).
-IDENTITY = [
-    ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"],
-    ["muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"],
-    ["black", "white", "asian", "latino", "african", "european", "arab"],
-    ["gay", "straight", "lesbian", "bisexual", "transgender", "queer"],
-    ["women", "men"], ["woman", "man"], ["girl", "boy"], ["girls", "boys"], ["female", "male"],
-    ["immigrant", "citizen", "refugee"], ["immigrants", "citizens", "refugees"],
-    ["musulman", "chrétien", "juif"], ["femme", "homme"], ["femmes", "hommes"],
-    ["frauen", "männer"], ["frau", "mann"], ["mujeres", "hombres"], ["mujer", "hombre"],
-]
+IDENTITY = (
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"),
+    ("black", "white", "asian", "latino", "african", "european", "arab"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
+    ("women", "men"), ("woman", "man"), ("girl", "boy"), ("girls", "boys"), ("female", "male"),
+    ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"),
+    ("musulman", "chrétien", "juif"), ("femme", "homme"), ("femmes", "hommes"),
+    ("frauen", "männer"), ("frau", "mann"), ("mujeres", "hombres"), ("mujer", "hombre"),
+)
 
 
 def _bare(data: np.ndarray) -> np.ndarray:
@@ -61,91 +71,152 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
     for a, b, data, offsets in W.texts(batch):
         data = _bare(data)
         starts, ends, first = W.spans(data, offsets)
+        n_words = np.maximum(np.diff(first), 1)
         row_of = np.repeat(np.arange(b - a), np.diff(first))
-        _, one = np.unique(row_of * WEIGHTS + _slots(W.word_hashes(data, starts, ends, lower=True)), return_index=True)
+        own = row_of * WEIGHTS + _slots(W.word_hashes(data, starts, ends, lower=True))
+        distinct, one = np.unique(own, return_index=True)
         starts, ends, row_of = starts[one], ends[one], row_of[one]
-        rows, slots = [row_of], [_slots(W.word_hashes(data, starts, ends, lower=True))]
+        rows, slots = [row_of], [distinct % WEIGHTS]
         for size in PREFIXES:
             long = ends - starts > size
             hashes = W.mix(W.word_hashes(data, starts[long], starts[long] + size, lower=True) + np.uint64(size))
             own, count = np.unique(row_of[long] * WEIGHTS + _slots(hashes), return_counts=True)
-            for least in COUNTS:
-                got = own[count >= least]
+            share = np.where(count >= 2, count / n_words[own // WEIGHTS], 0)
+            tests = [(least, count >= least) for least in COUNTS] + [(100 + i, share >= least) for i, least in enumerate(SHARES)]
+            for tag, ok in tests:
+                got = own[ok]
                 rows.append(got // WEIGHTS)
-                slots.append(_slots(W.mix((got % WEIGHTS).astype(np.uint64) + np.uint64((least << 40) + (size << 48)))))
+                slots.append(_slots(W.mix((got % WEIGHTS).astype(np.uint64) + np.uint64((tag << 40) + (size << 48)))))
         yield a, b, np.concatenate(rows), np.concatenate(slots)
 
 
-def slots_of(word: str) -> np.ndarray:
-    """What a word adds to a text's features, the word's own slot first."""
-    batch = pa.RecordBatch.from_pydict({"text": [word.lower()]})
-    return next(slots for _, _, _, slots in _features(batch))
+def _slot_sets(texts: list[str]) -> list[np.ndarray]:
+    """Each text's features."""
+    out = []
+    for a, b, rows, slots in _features(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})):
+        order = np.argsort(rows, kind="stable")
+        cuts = np.searchsorted(rows[order], np.arange(1, b - a))
+        out += [np.unique(x).astype("<i4") for x in np.split(slots[order], cuts)]
+    return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, rows, slots in _features(batch):
-            order = np.argsort(rows, kind="stable")
-            cuts = np.searchsorted(rows[order], np.arange(1, b - a))
-            own = [np.unique(x).astype("<i4").tobytes() for x in np.split(slots[order], cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column("y").slice(a, b - a), pa.array(own, pa.binary())], names=["y", "slots"])
+class Swaps:
+    """Counterfactual copies of texts for groups of identity terms."""
 
+    def __init__(self, identity: tuple[tuple[str, ...], ...]):
+        self.groups = [tuple(w.lower() for w in g) for g in identity if len(g) > 1]
+        self.of = {w: g for g in self.groups for w in g}
+        self.find = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, self.of), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE) if self.of else None
 
-def _fit(rows: list[tuple[float, bytes]], penalty: float) -> tuple[np.ndarray, float]:
-    """Weights and bias. Slots that fewer than three training texts have stay 0: they can't be told from chance."""
-    slots = [np.frombuffer(raw, "<i4") for _, raw in rows]
-    count = np.zeros(WEIGHTS, np.int64)
-    for own in slots:
-        count[own] += 1
-    places = np.flatnonzero(count >= 3)
+    def _other(self, word: str, k: int) -> str:
+        g = self.of[word]
+        return g[(g.index(word) + 1 + k % (len(g) - 1)) % len(g)]
+
+    def copies(self, text: str, key: int, inject: int) -> tuple[bool, list[str]]:
+        """Whether the text itself names a group; its copies: one with other terms, or (for one key in `inject`) two with a
+        mention put in, or none."""
+        if self.find is None:
+            return False, []
+        if self.find.search(text):
+            return True, [self.find.sub(lambda m: self._other(m[0].lower(), key), text)]
+        if key % inject:
+            return False, []
+        group = self.groups[key // inject % len(self.groups)]
+        word = group[key // 64 % len(group)]
+        parts = text.split(" ")
+        at = key // 4096 % (len(parts) + 1)
+        return False, [" ".join([*parts[:at], w, *parts[at:]]) for w in (word, self._other(word, key // 512))]
+
+
+def _extract(swaps: Swaps, inject: int):
+    """y, the text's features, and of each of its pairs of texts (counterfactual pairs) both sides' features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                texts = part.column("text").to_pylist()
+                made, pairs = [], []
+                for key, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                    named, copies = swaps.copies(text, crc32(str(key).encode()), inject)
+                    at = [len(texts) + len(made) + i for i in range(len(copies))]
+                    made += copies
+                    own = len(pairs)
+                    pairs.append([(own, at[0])] if named else [(at[0], at[1]), (own, at[0])] if copies else [])
+                sets = [x.tobytes() for x in _slot_sets(texts + made)]
+                columns = [part.column("y"), pa.array(sets[: len(texts)], pa.binary()), pa.array([[sets[i] for pair in own for i in pair] for own in pairs], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["y", "slots", "pairs"])
+
+    return run
+
+
+def _kept(sets: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
+    """Slots that tell the labels apart: whose count among toxic rows is CLEAR standard deviations from the expected one (the
+    `most` clearest). What a few rows happen to share stays out, so that it can't stand in for what makes a text toxic."""
+    every, toxic = np.zeros(WEIGHTS, np.int64), np.zeros(WEIGHTS, np.int64)
+    for own, label in zip(sets, y, strict=True):
+        every[own] += 1
+        if label:
+            toxic[own] += 1
+    share = y.mean() if len(y) else 0.0
+    z = np.abs(toxic - every * share) / np.sqrt(every * share * (1 - share) + 0.5)
+    places = np.flatnonzero(z >= CLEAR)
+    return places if len(places) <= most else np.sort(places[np.argsort(-z[places], kind="stable")[:most]])
+
+
+def _fit(rows: list[tuple[float, bytes, list[bytes]]], penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and bias."""
+    base = [np.frombuffer(r[1], "<i4") for r in rows]
+    named = [np.setxor1d(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")) for _, _, pairs in rows for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
+    named, often = np.unique(np.concatenate([*named, np.zeros(0, np.int32)]), return_counts=True)
+    # what a swap changes is under the penalty, whether or not it tells the labels apart
+    places = np.union1d(_kept(base, np.array([r[0] for r in rows]), FEATURES), named[often >= 3]).astype(np.int64)
     index = np.full(WEIGHTS, len(places), np.int32)  # the last weight stands for the slots that stay 0
     index[places] = np.arange(len(places))
-    y = np.array([r[0] for r in rows], np.float32)
-    groups = [[slots_of(w) for w in g] for g in IDENTITY]
-    swap, change, sign = [], [], []  # of each swap: the slots that go with the named term and come with the other
-    n_swaps = 0
-    for i, own in enumerate(slots):
-        for g in groups:
-            for k in np.flatnonzero(np.isin([t[0] for t in g], own)):
-                for way, term in ((1.0, g[k]), (-1.0, g[(k + 1 + i % (len(g) - 1)) % len(g)])):
-                    swap += [n_swaps] * len(term)
-                    change += index[term].tolist()
-                    sign += [way] * len(term)
-                n_swaps += 1
-    swap, change, sign = np.array(swap, np.int64), np.array(change, np.int64), np.array(sign)
-    own = [index[x] for x in slots]
-    own = [x[x < len(places)] for x in own]
-    at = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
-    flat = np.concatenate([*own, np.zeros(0, np.int32)])
-    n, k = max(1, len(rows)), len(places) + 1
-    weight = np.where(y > 0, POSITIVE, 1.0) / n
+
+    def known(raw: bytes) -> np.ndarray:
+        own = index[np.frombuffer(raw, "<i4")]
+        return own[own < len(places)]
+
+    sets, y = [known(r[1]) for r in rows], [r[0] for r in rows]
+    left, right = [], []
+    for label, _, pairs in rows:
+        for a, b in zip(pairs[::2], pairs[1::2], strict=True):
+            left.append(len(sets))
+            right.append(len(sets) + 1)
+            sets += [known(a), known(b)]
+            y += [label, label]
+    n, k, of = max(1, len(sets)), len(places), np.array(y, float)
+    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    at = np.repeat(np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
+    flat = np.concatenate([*sets, np.zeros(0, np.int32)])
+    weight = np.where(of > 0, POSITIVE, 1.0) / n
     w, bias, m, v = np.zeros(k), 0.0, np.zeros(k + 1), np.zeros(k + 1)
-    for t in range(1, STEPS + 1):
+    for t in range(1, STEPS + 1 if len(sets) else 1):
         z = bias + np.bincount(at, w[flat], n)
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - (y if len(y) else 0)) * (weight if len(y) else 0)
-        g = np.bincount(flat, d[at], k) + RIDGE / n * w
-        if n_swaps:
-            moved = np.bincount(swap, sign * w[change], n_swaps) * (2 * penalty / n)
-            g += np.bincount(change, sign * moved[swap], k)
-        g[-1] = 0
-        full = np.append(g, d.sum())
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - of) * weight
+        slope = d.sum()
+        moved = (z[left] - z[right]) * (2 * penalty / n)
+        np.add.at(d, left, moved)
+        np.add.at(d, right, -moved)
+        full = np.append(np.bincount(flat, d[at], k) + RIDGE / n * w, slope)
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full * full
         step = 0.1 * min(1.0, 2 - 2 * t / STEPS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
     out = np.zeros(WEIGHTS)
-    out[places] = w[:-1]
+    out[places] = w
     return out, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY, identity: tuple[tuple[str, ...], ...] = IDENTITY, inject: int = INJECT) -> tuple[np.ndarray, float]:
     """Weights and bias from labels (doc_id, toxic) and the texts of docs. At most `sample` labelled rows, those with the
     smallest hash of the id, are looked at; rows without a label, id or text don't count, and of a repeated id the larger
-    label does."""
+    label does. identity: groups of terms that stand for each other. Empty tables give weights of 0."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("y"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = mapped(rows.select("y", "text"), _extract, "y double, slots binary").collect()  # `sample` rows at most
-    return _fit(sorted((r.y, bytes(r.slots)) for r in got), penalty)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    got = mapped(rows.select("doc_id", "y", "text"), _extract(Swaps(identity), inject), "y double, slots binary, pairs array<binary>").collect()  # `sample` rows at most
+    return _fit(sorted((r.y, bytes(r.slots), [bytes(x) for x in r.pairs]) for r in got), penalty)
 
 
 def _scores(batch: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray:

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import collections
 import random
+import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlab.llm import decontaminate, toxicity
+from strandlab.llm import decontaminate, toxicity, words
 from strandlab.llm.common import documents
 from tests.llm.cases import MESSY, ODD, SF, table
 from tests.llm.test_dedup import brute_components, brute_exact
@@ -72,19 +75,58 @@ def test_classifier_and_neutral_mentions(spark):
     docs = table(spark, rows)
     probe = table(spark, [(1, "muslim people live here w1 w2 w3"), (2, "christian people live here w1 w2 w3"), (3, "vilebad nastyword w1 w2"), (4, None), (5, "")])
     gap = {}
-    for penalty in (0.0, toxicity.PENALTY * 25):
+    for penalty in (0.0, toxicity.PENALTY):
         model = toxicity.train(docs, labels, penalty=penalty)
         got = {r.doc_id: r for r in toxicity.score(probe, model).collect()}
         gap[penalty] = abs(got[1].score - got[2].score)
         assert got[3].predicted == 1 and got[4].score == got[5].score and all(0 <= r.score <= 1 for r in got.values())
         assert got[1].predicted == got[2].predicted == 0
-    assert gap[toxicity.PENALTY * 25] < 0.5 * gap[0.0]
+    assert gap[toxicity.PENALTY] < 0.5 * gap[0.0]
     assert len(toxicity.score(table(spark, MESSY), model).collect()) == len(MESSY)
     assert toxicity.score(table(spark, []), model).collect() == [] and toxicity.accepted(table(spark, []), model).collect() == []
     empty = toxicity.train(table(spark, []), labels.limit(0))
     assert all(r.predicted == 0 for r in toxicity.score(probe, empty).collect())
 
 
+def test_counterfactual_copies():
+    swaps = toxicity.Swaps(toxicity.IDENTITY)
+    named, (copy,) = swaps.copies("Some Black cats and women's hats, black", 5, 8)
+    assert named and copy.split()[2:4] == ["cats", "and"] and "women" not in copy and "lack" not in copy and copy.endswith(copy.split()[1])
+    named, copies = swaps.copies("nobody is named here", 16, 8)
+    assert not named and len(copies) == 2 and copies[0] != copies[1]
+    assert all(len(set(c.split()) - set("nobody is named here".split())) == 1 for c in copies)
+    assert swaps.copies("nobody is named here", 17, 8) == (False, []) and toxicity.Swaps(()).copies("women", 16, 8) == (False, [])
+
+
+def plain_features(text):
+    """The definition, one word at a time."""
+
+    def h(raw):
+        return words.word_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), lower=True)
+
+    top = lambda x: int((x >> np.uint64(64 - toxicity.BITS))[0])
+    all_words = re.sub(r"[!-/:-@\[-`{-~\x7f]", " ", text).encode().split()
+    low = {bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in all_words}
+    out = {top(h(w)) for w in low}
+    for size in toxicity.PREFIXES:
+        many = collections.Counter(w[:size] for w in low if len(w) > size)
+        for start, n in many.items():
+            own = top(words.mix(h(start) + np.uint64(size)))
+            tags = [k for k in toxicity.COUNTS if n >= k] + [100 + i for i, s in enumerate(toxicity.SHARES) if n >= 2 and n / len(all_words) >= s]
+            out |= {top(words.mix(np.array([own], np.uint64) + np.uint64((t << 40) + (size << 48)))) for t in tags}
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    docs = documents(spark, SF)
+    weights, bias = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, (weights, bias)).collect()}
+    for i, text in rows.items():
+        score = 1 / (1 + np.exp(-(bias + sum(weights[s] for s in plain_features(text or "")))))
+        assert abs(score - got[i][0]) < 1e-6 and got[i][1] == int(got[i][0] >= toxicity.THRESHOLD)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
@@ -92,7 +134,7 @@ def test_held_out_accuracy(spark):
     rows = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
     hit = sum(r.predicted and r.toxic for r in rows)
-    assert hit > 0.5 * sum(r.toxic for r in rows) and hit >= 0.95 * sum(r.predicted for r in rows)
+    assert hit >= 0.85 * sum(r.toxic for r in rows) and hit >= 0.95 * sum(r.predicted for r in rows)
 
 
 def test_pipeline_stages(spark):
