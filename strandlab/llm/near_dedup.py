@@ -7,9 +7,12 @@ unless no A or no B agrees: with r = 2 and m = 14 a pair at 0.8 is missed with a
 Stages, all keyed shuffles: (1) word shingles, set fingerprint and half-keys of every document, in one pass over the
 texts; (2) documents with one set form a class, its smallest doc_id stands for it, so copies cost no pairs; (3) half-keys
 that only one class has are dropped before the tables' keys are formed; (4) in each bucket all members are verified
-against its most typical member (whose half-keys are the most common); (5) members of buckets that then still hold
-several components are verified against each other if their shared shingles leave room for a link (_open_pairs), so that
-no link between components is lost and no bucket is expanded into all its pairs; (6) components by star contraction."""
+against its most typical member, the head (whose half-keys are the most common); (5) members of heads that then still have
+several components are joined by what tells them from the head (_open_pairs), so that no link between components is lost
+and no bucket is expanded into all its pairs; (6) components by star contraction.
+
+The fingerprint of a set is two independent 64-bit sums over its shingles' 64-bit hashes and its size: texts of one class
+are taken as copies, all other links are confirmed on the sets of shingle hashes."""
 
 from __future__ import annotations
 
@@ -19,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandlab.llm import words as W
-from strandlab.llm.common import components, mapped, per_row, release, stage
+from strandlab.llm.common import components, mapped, per_row, stage
 
 ROWS_PER_HALF, HALVES = 2, 14
 
@@ -87,17 +91,28 @@ def _sets(width: int):
     return run
 
 
-def _checked(pairs: DataFrame, rows: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """A table of the pairs (u, v) with common, the size of the intersection of their full sets, and link, whether
-    100 * |intersection| >= per_cent * |union|. Only the texts of documents that are in some pair are shingled again."""
-    pairs = stage(pairs, "pairs")
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = mapped(rows.join(needed, "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
-    left = sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("gu"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("gv"))
-    common = F.size(F.array_intersect("gu", "gv")).cast("long")
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", common.alias("common"), (F.size("gu") + F.size("gv")).cast("long").alias("s"))
-    return stage(both.select("u", "v", "common", (100 * F.col("common") >= per_cent * (F.col("s") - F.col("common"))).alias("link")), "checked")
+#: Members of one head that meet its shingles in one task.
+FAN = 2_000
+
+
+def _with_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """pairs (c, rep, ...) with gc and gr, the shingle sets of both. Only the texts of documents that are in some pair are
+    shingled again. The sets of a head with very many members go to several tasks, its members among them."""
+    heads = pairs.groupBy("c").agg(F.count("*").alias("k")).select("c", F.ceil(F.col("k") / FAN).cast("int").alias("parts"))
+    many = heads.where("parts > 1")
+    own = mapped(texts.join(heads.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
+    own = own.select(F.col("doc_id").alias("c"), F.col("grams").alias("gc")).join(many, "c", "left")
+    own = own.select("c", "gc", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    rest = mapped(texts.join(pairs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
+    dealt = pairs.join(many, "c", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(rest.select(F.col("doc_id").alias("rep"), F.col("grams").alias("gr")), "rep").join(own, ["c", "part"])
+
+
+def _links(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """A table of the pairs (u, v) whose full sets have 100 * |intersection| >= per_cent * |union|."""
+    common = F.size(F.array_intersect("gc", "gr"))
+    link = 100 * common >= per_cent * (F.size("gc") + F.size("gr") - common)
+    return stage(_with_sets(stage(pairs, "pairs"), texts, width).where(link).select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")), "links")
 
 
 def _near(a: str, b: str, per_cent: int):
@@ -105,52 +120,37 @@ def _near(a: str, b: str, per_cent: int):
     return 100 * F.least(a, b) >= per_cent * F.greatest(a, b)
 
 
-def _open_pairs(members: DataFrame, halves: DataFrame, labels: DataFrame, checked: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Pairs of one bucket that may link two components: u < v. Of two such members one at least, x, isn't in the component of
-    the bucket's head c. What x and y can have in common has two bounds, and pairs for which they are too low go:
-
-    - the shingles of either that members of other components have as well (most);
-    - what both have in common with c (known from the check against c), plus the lesser of what each has besides c and
-      shares with other components: most - |x and c| for x, as all that x shares with c is shared with another component.
-
-    These are bounds, not estimates: no link is lost. A pair that shares many tables comes from the first of them alone."""
-
-    def split(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that have more than one component, with the smallest set in it."""
-        keys = rows.groupBy("key").agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.min("n").alias("least")).where("l1 < l2")
-        return rows.join(keys.select("key", "least"), "key")
-
-    own, heads = labels.select(F.col("node").alias("rep"), F.col("label").alias("l")), labels.select(F.col("node").alias("c"), F.col("label").alias("lc"))
-    placed = members.join(own, "rep", "left").join(heads, "c", "left").select("key", "rep", "n", "c", F.coalesce("l", "rep").alias("l"), F.coalesce("lc", "c").alias("lc"))
-    open_ = stage(split(placed), "open")
-    nodes = stage(open_.groupBy("rep", "l", "n").agg(F.min("least").alias("least")), "nodes")
-    wanted = nodes.select(F.col("rep").alias("doc_id"), "l")
-    sets = mapped(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
-    grams = sets.join(wanted, "doc_id").select("doc_id", "l", F.explode("grams").alias("g"))
-    grams = stage(grams, "grams")
-    cross = grams.groupBy("g").agg(F.min("l").alias("l1"), F.max("l").alias("l2")).where("l1 < l2").select("g")
-    bound = grams.join(cross, "g").groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("most"))
-    smallest = F.greatest(F.col("least"), F.ceil(per_cent * F.col("n") / 100))
-    active = nodes.join(bound, "rep").where((100 + per_cent) * F.col("most") >= per_cent * (F.col("n") + smallest)).select("rep", "most")
-    active = active.join(halves.select("rep", "x", "y"), "rep")
-    rows = split(open_.drop("least").join(active, "rep")).drop("least")
-    known = checked.select("u", "v", "common")
-    rows = rows.withColumn("u", F.least("rep", "c")).withColumn("v", F.greatest("rep", "c")).join(known, ["u", "v"], "left")
-    inside = F.when(F.col("rep") == F.col("c"), F.col("n")).otherwise(F.coalesce("common", "n"))
-    outside = F.when(F.col("rep") == F.col("c"), F.lit(0)).when(F.col("common").isNull(), F.col("most")).when(F.col("l") != F.col("lc"), F.col("most") - F.col("common")).otherwise(F.least(F.col("n") - F.col("common"), F.col("most")))
-    rows = stage(rows.select("key", "rep", "n", "l", "lc", "c", "most", "x", "y", inside.alias("inside"), outside.alias("outside")), "active")
-    names = ("rep", "n", "l", "lc", "most", "inside", "outside", "x", "y")
-    a = rows.where("l <> lc").select("key", *(F.col(c).alias(f"a_{c}") for c in names))
-    b = rows.where("rep <> c").select("key", *(F.col(c).alias(f"b_{c}") for c in names))
-
-    def enough(most):
-        return (100 + per_cent) * most >= per_cent * (F.col("a_n") + F.col("b_n"))
-
-    once = (F.col("b_l") == F.col("b_lc")) | (F.col("a_rep") < F.col("b_rep"))
-    room = F.least("a_inside", "b_inside") + F.least("a_outside", "b_outside")
-    first = F.xxhash64(F.get(F.array_intersect("a_x", "b_x"), F.lit(0)), F.get(F.array_intersect("a_y", "b_y"), F.lit(0)))
-    pairs = a.join(b, "key").where((F.col("a_rep") != F.col("b_rep")) & (F.col("a_l") != F.col("b_l")) & once & enough(F.least("a_most", "b_most")) & enough(room) & _near("a_n", "b_n", per_cent)).where(first == F.col("key"))
-    return pairs.select(F.least("a_rep", "b_rep").alias("u"), F.greatest("a_rep", "b_rep").alias("v")).distinct()
+def _open_pairs(spokes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Pairs (c, rep) of members of one head that may link two components.
+
+    Let D(x) be the symmetric difference of x and the head c, and r = (100 - p) / (100 + p). Sets x and y of similarity p %
+    differ in r * (|x| + |y|) shingles at most, and D(x) and D(y) differ in just these; a member outside the head's
+    component has |D| > r * (|x| + |c|), as it isn't linked with the head. So of two such members, D(x) and D(y) share
+    more than (|D(x)| + r * (|c| - |x|)) / 2 elements, and |D(x)| - |x| * (100 - p) / p at least: what the members don't
+    share with the head must agree by half. Sets that share t elements share one of the first |D| - t + 1 in any common
+    order; with the rarest first, members that differ from the head in shingles of their own share none. Pairs are those
+    that meet in such a first element. These are bounds, not estimates: no link is lost. Of the pairs with one member in
+    the head's component, that one gives the same first elements and the other (its partner's D may be small) all that the
+    second bound leaves."""
+    p, q = per_cent, 100 + per_cent
+    named = spokes.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("l")), "rep", "left").withColumn("l", F.coalesce("l", "rep"))
+    groups = named.groupBy("c").agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.max(F.when(F.col("rep") == F.col("c"), F.col("l"))).alias("lc")).where("l1 < l2").select("c", "lc")
+    open_ = stage(named.where("rep <> c").join(groups, "c").select("c", "cn", "rep", "n", "l", (F.col("l") != F.col("lc")).alias("out")), "open")
+    apart = _with_sets(open_, texts, width).select("c", "cn", "rep", "n", "l", "out", F.concat(F.array_except("gr", "gc"), F.array_except("gc", "gr")).alias("d"))
+    apart = stage(apart, "apart")
+    rows = apart.select("c", "cn", "rep", "n", "l", "out", F.size("d").cast("long").alias("size"), F.explode("d").alias("g"))
+    often = rows.groupBy("c", "g").agg(F.count("*").alias("k"), F.min("l").alias("l1"), F.max("l").alias("l2"), F.max("out").alias("some"))
+    # what one component alone has can't be where two meet, but counts as a place in the order
+    rows = rows.join(often.withColumn("meets", F.col("some") & (F.col("l1") < F.col("l2"))).select("c", "g", "k", "meets"), ["c", "g"])
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("c", "rep").orderBy("k", "g"))).where("meets")
+    most = F.expr(f"n * {100 - p} div {p} + 1")
+    rows = rows.withColumn("same", F.least(F.expr(f"size - (size * {q} + {100 - p} * (cn - n)) div {2 * q}"), most))
+    rows = rows.withColumn("other", F.least(F.expr(f"size + 1 - greatest(1, ((size + 1) * {p} - n * {100 - p}) div {2 * p})"), most))
+    rows = stage(rows.where("at <= same or (out and at <= other)").select("c", "g", "rep", "n", "l", "out", (F.col("at") <= F.col("same")).alias("same")), "firsts")
+    a = rows.where("out").select("c", "g", *(F.col(x).alias(f"a_{x}") for x in ("rep", "n", "l", "same")))
+    b = rows.where("same").select("c", "g", *(F.col(x).alias(f"b_{x}") for x in ("rep", "n", "l", "out")))
+    met = a.join(b, ["c", "g"]).where((F.col("a_l") != F.col("b_l")) & (~F.col("b_out") | (F.col("a_same") & (F.col("a_rep") < F.col("b_rep")))) & _near("a_n", "b_n", p))
+    return met.select(F.least("a_rep", "b_rep").alias("c"), F.greatest("a_rep", "b_rep").alias("rep")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, rows: int = ROWS_PER_HALF, halves: int = HALVES) -> DataFrame:
@@ -177,15 +177,10 @@ def _near_duplicates(docs: DataFrame, width: int, per_cent: int, rows: int, halv
     own = stage(own.where((F.size("x") > 0) & (F.size("y") > 0)).withColumns({"x": F.sort_array("x"), "y": F.sort_array("y")}), "own")
     table = stage(own.select("rep", "n", "common", keys.alias("key")), "tables")
     heads = table.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), F.col("rep"), F.col("n"))).alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key").drop("common"), "members")
-    release(docs.sparkSession)
-    stars = members.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent))
-    checked = _checked(stars.select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")).distinct(), texts, width, per_cent)
-    release(docs.sparkSession)
-    links = checked.where("link").select("u", "v")
+    spokes = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key").select("c", "cn", "rep", "n").distinct(), "spokes")
+    links = _links(spokes.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent)).select("c", "rep"), texts, width, per_cent)
     labels = stage(components(links), "labels")
-    release(docs.sparkSession)
-    more = _checked(_open_pairs(members, own, labels, checked, texts, width, per_cent), texts, width, per_cent).where("link").select("u", "v")
+    more = _links(_open_pairs(spokes, labels, texts, width, per_cent), texts, width, per_cent)
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")
     reps = classes.select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
