@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
 
@@ -18,11 +16,17 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Shuffle files of an execution go when it has ended (a setting of Spark's).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir of the session, or, only where that is unset
-    (as in tests on one machine), a new local folder that is then set as the checkpoint folder."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir of the session. Where that is unset, a run on one
+    machine (as in tests) gets a new local folder; on a cluster that is an error, as machines don't see each other's."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='strandlab-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -34,19 +38,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs no more
-    than the tasks that it ran. Unlike checkpoint(), it computes df once and compresses what it writes."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose tables are written. It does so when the driver's JVM notices that
-    nothing refers to them: first Python's own references must go, then two collections find the plans and what they held."""
-    gc.collect()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    than the tasks that it ran. Unlike checkpoint(), it computes df once and compresses what it writes; the shuffle files
+    that it took go as soon as the table is there."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.strandlab_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stage() that nothing will read again."""
+    for t in tables:
+        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.strandlab_folder)
+        place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

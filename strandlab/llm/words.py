@@ -114,6 +114,16 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix((total[k:] - total[:-k]) * powers(_INVERSE, len(words))[:n])
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each run of words, starts[i] to ends[i]."""
+    with np.errstate(over="ignore"):
+        total = np.empty(len(words) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(words * powers(_BASE, len(words)), out=total[1:])
+        own = (total[ends] - total[starts]) * powers(_INVERSE, len(words))[starts]
+        return mix(own + (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a batch: first row, end row, bytes, offsets from 0."""
     data, offsets = buffers(batch.column(name))

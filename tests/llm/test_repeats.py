@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from strandlab.llm import substring_dedup
 from strandlab.llm.common import documents
 from tests.llm.cases import MESSY, ODD, SF, table
@@ -29,7 +31,25 @@ def got(df):
 
 def test_against_brute_force(spark):
     docs = documents(spark, SF)
-    assert got(docs) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    want = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert got(docs) == want
+    assert got(docs.repartition(9)) == want  # copies meet in the shuffle, not in one slice
+
+
+def test_factors(spark):
+    """Each factor equals its source, which is earlier; factors end where the source goes on otherwise."""
+    docs = documents(spark, SF).repartition(5)
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    rows = substring_dedup.factors(docs).collect()
+    assert len(rows) > 20
+    for r in rows:
+        own, source = words[r.doc_id], words[r.source]
+        assert r.length >= 20 and (r.source, r.source_start) < (r.doc_id, r.start)
+        assert own[r.start : r.start + r.length] == source[r.source_start : r.source_start + r.length]
+        assert r.head == substring_dedup._digest([w.encode() for w in own[r.start : r.start + 20]])
+    wrong = [{"start": 0, "length": 20, "head": b"x" * 16, "tail": b"x" * 16}]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join("abcdefghijklmnopqrstuvwxyz")], "factors": [wrong]})
+    assert next(substring_dedup._cut(20, False)(iter([batch]))).to_pylist()[0]["n_removed"] == 0
 
 
 def test_passages_periods_and_odd_rows(spark):
@@ -45,6 +65,7 @@ def test_passages_periods_and_odd_rows(spark):
     rows += [(2000 + n, "a " * n) for n in (19, 20, 21, 22, 33, 34, 60)] + [(3000 + p, " ".join(str(i % p) for i in range(45))) for p in (1, 2, 3, 7, 12, 13, 14, 20, 25)]
     rows += [(i + 5000, t) for i, t in ODD]
     assert got(table(spark, rows)) == brute(rows)
+    assert got(table(spark, rows).repartition(11)) == brute(rows)
 
 
 def test_messy_and_empty(spark):
