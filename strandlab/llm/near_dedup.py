@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlab.llm import words as W
-from strandlab.llm.common import components, mapped, per_row, stage
+from strandlab.llm.common import components, discard, mapped, per_row, stage
 
 ROWS_PER_HALF, HALVES = 2, 14
 
@@ -93,26 +93,39 @@ def _sets(width: int):
 
 #: Members of one head that meet its shingles in one task.
 FAN = 2_000
-
-
-def _with_sets(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs (c, rep, ...) with gc and gr, the shingle sets of both. Only the texts of documents that are in some pair are
-    shingled again. The sets of a head with very many members go to several tasks, its members among them."""
-    heads = pairs.groupBy("c").agg(F.count("*").alias("k")).select("c", F.ceil(F.col("k") / FAN).cast("int").alias("parts"))
-    many = heads.where("parts > 1")
-    own = mapped(texts.join(heads.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
-    own = own.select(F.col("doc_id").alias("c"), F.col("grams").alias("gc")).join(many, "c", "left")
-    own = own.select("c", "gc", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    rest = mapped(texts.join(pairs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets(width), "doc_id long, grams array<long>")
-    dealt = pairs.join(many, "c", "left").withColumn("part", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    return dealt.join(rest.select(F.col("doc_id").alias("rep"), F.col("grams").alias("gr")), "rep").join(own, ["c", "part"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+#: Most ids (8 bytes each) that are sent to all workers; more are joined by a shuffle.
+SENT_IDS = 2_000_000
+
+
+def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """A table of the shingle sets of the documents in ids (rep, unique): rep, grams."""
+    few = ids.count() <= SENT_IDS
+    own = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["rep"], "left_semi")
+    return stage(mapped(own, _sets(width), "doc_id long, grams array<long>").withColumnRenamed("doc_id", "rep"), "sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (c, rep, ...), a table, with gc and gr, the shingle sets of both. The sets of a head with very many members go
+    to several tasks, its members among them."""
+    many = pairs.groupBy("c").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")).where("parts > 1")
+    n_many = many.count()
+    many = F.broadcast(many) if n_many <= SENT_IDS // 8 else many  # at most a row for FAN pairs
+    # columns are renamed in both, so that both are one plan, and one shuffle serves both joins
+    heads, rest = (sets.select(F.col("rep").alias(k), F.col("grams").alias(g)) for k, g in (("c", "gc"), ("r", "gr")))
+    if not n_many:
+        return pairs.join(rest, pairs["rep"] == rest["r"]).drop("r").join(heads, "c")
+    parts = pairs.join(many, "c", "left")
+    one = parts.where("parts is null").drop("parts").join(rest, F.col("rep") == F.col("r")).drop("r").join(heads, "c")
+    heads = heads.join(many, "c").select("c", "gc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = parts.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+    return one.unionByName(dealt.join(rest, F.col("rep") == F.col("r")).drop("r").join(heads, ["c", "part"]).drop("part"))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """A table of the pairs (u, v) whose full sets have 100 * |intersection| >= per_cent * |union|."""
     common = F.size(F.array_intersect("gc", "gr"))
     link = 100 * common >= per_cent * (F.size("gc") + F.size("gr") - common)
-    return stage(_with_sets(stage(pairs, "pairs"), texts, width).where(link).select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")), "links")
+    return stage(_with_sets(stage(pairs, "pairs"), sets).where(link).select(F.least("c", "rep").alias("u"), F.greatest("c", "rep").alias("v")), "links")
 
 
 def _near(a: str, b: str, per_cent: int):
@@ -120,7 +133,7 @@ def _near(a: str, b: str, per_cent: int):
     return 100 * F.least(a, b) >= per_cent * F.greatest(a, b)
 
 
-def _open_pairs(spokes: DataFrame, labels: DataFrame, texts: DataFrame, width: int, per_cent: int) -> DataFrame:
+def _open_pairs(spokes: DataFrame, labels: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (c, rep) of members of one head that may link two components.
 
     Let D(x) be the symmetric difference of x and the head c, and r = (100 - p) / (100 + p). Sets x and y of similarity p %
@@ -134,9 +147,11 @@ def _open_pairs(spokes: DataFrame, labels: DataFrame, texts: DataFrame, width: i
     second bound leaves."""
     p, q = per_cent, 100 + per_cent
     named = spokes.join(labels.select(F.col("node").alias("rep"), F.col("label").alias("l")), "rep", "left").withColumn("l", F.coalesce("l", "rep"))
-    groups = named.groupBy("c").agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.max(F.when(F.col("rep") == F.col("c"), F.col("l"))).alias("lc")).where("l1 < l2").select("c", "lc")
+    # whether the head and a member are linked is known: only a head whose other members have several components matters
+    own, others = F.when(F.col("rep") == F.col("c"), F.col("l")), F.when(F.col("rep") != F.col("c"), F.col("l"))
+    groups = named.groupBy("c").agg(F.min(others).alias("l1"), F.max(others).alias("l2"), F.max(own).alias("lc")).where("l1 < l2").select("c", "lc")
     open_ = stage(named.where("rep <> c").join(groups, "c").select("c", "cn", "rep", "n", "l", (F.col("l") != F.col("lc")).alias("out")), "open")
-    apart = _with_sets(open_, texts, width).select("c", "cn", "rep", "n", "l", "out", F.concat(F.array_except("gr", "gc"), F.array_except("gc", "gr")).alias("d"))
+    apart = _with_sets(open_, sets).select("c", "cn", "rep", "n", "l", "out", F.concat(F.array_except("gr", "gc"), F.array_except("gc", "gr")).alias("d"))
     apart = stage(apart, "apart")
     rows = apart.select("c", "cn", "rep", "n", "l", "out", F.size("d").cast("long").alias("size"), F.explode("d").alias("g"))
     often = rows.groupBy("c", "g").agg(F.count("*").alias("k"), F.min("l").alias("l1"), F.max("l").alias("l2"), F.max("out").alias("some"))
@@ -178,11 +193,14 @@ def _near_duplicates(docs: DataFrame, width: int, per_cent: int, rows: int, halv
     table = stage(own.select("rep", "n", "common", keys.alias("key")), "tables")
     heads = table.groupBy("key").agg(F.max(F.struct("common", -F.col("rep"), F.col("rep"), F.col("n"))).alias("head"), F.count("*").alias("size")).where("size > 1")
     spokes = stage(table.join(heads.select("key", F.col("head.rep").alias("c"), F.col("head.n").alias("cn")), "key").select("c", "cn", "rep", "n").distinct(), "spokes")
-    links = _links(spokes.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent)).select("c", "rep"), texts, width, per_cent)
+    sets = _sets_of(own.select("rep"), texts, width)
+    discard(half, own, table)
+    links = _links(spokes.where(F.col("rep") != F.col("c")).where(_near("n", "cn", per_cent)).select("c", "rep"), sets, per_cent)
     labels = stage(components(links), "labels")
-    more = _links(_open_pairs(spokes, labels, texts, width, per_cent), texts, width, per_cent)
+    more = _links(_open_pairs(spokes, labels, sets, per_cent), sets, per_cent)
     if not more.isEmpty():
         labels = stage(components(links.unionByName(more)), "labels")
+    discard(spokes, sets)
     reps = classes.select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep")
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("cn", "c1", "c2", F.coalesce("label", "rep").alias("rep"))
     match = (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))

@@ -47,8 +47,11 @@ def test_near_against_brute_force(spark):
     assert near(docs, 4) == brute_components(rows, 4)
 
 
-def test_near_chains_and_clusters(spark):
-    """Links between texts whose bucket's smallest member is not similar to either."""
+@pytest.mark.parametrize("fan, sent", [(2_000, 2_000_000), (2, 0)])
+def test_near_chains_and_clusters(spark, monkeypatch, fan, sent):
+    """Links between texts whose bucket's head is not similar to either; also with heads dealt out and nothing sent."""
+    monkeypatch.setattr(near_dedup, "FAN", fan)
+    monkeypatch.setattr(near_dedup, "SENT_IDS", sent)
     rng = random.Random(3)
     rows, base = [], [f"v{rng.randrange(10**6)}" for _ in range(120)]
     for i in range(60):
