@@ -19,14 +19,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.common import mapped, new_folder, per_row, stage
 
-#: Chunks, and pieces, whose ids a worker remembers (about 0.2 kB each); when there are so many, it starts anew.
-CACHED = 500_000
+#: Bytes of chunks and pieces, and of what they become, that a worker remembers; when there are so many, it starts anew.
+CACHED_BYTES = 96 << 20
+#: Bytes of one remembered entry besides its text and its ids; longer chunks than LONGEST are not remembered.
+_ENTRY, LONGEST = 220, 200
 #: How the vocabulary's pre-tokenizer splits a text (fixed value).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 0
@@ -46,17 +49,22 @@ def masked_crc(data: bytes) -> int:
 class Encoder:
     """Ids of whole texts. A single blank between two characters that aren't white space always starts a new piece of the
     pre-tokenizer, so what lies between such blanks is encoded by itself and remembered; texts with other blanks or with
-    what may be a special token are encoded in one go. A chunk that is new is split into the pre-tokenizer's pieces."""
+    what may be a special token are encoded in one go. Chunks are told apart in Arrow: Python sees each one once in a batch.
+    A chunk that is new is split into the pre-tokenizer's pieces."""
 
     def __init__(self, vocabulary: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        n = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.chunks: dict[str, bytes] = {}  # ids of a chunk with a blank before it
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         self.split = regex.compile(PIECE).findall
+        blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # how the vocabulary writes a blank
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(n)])
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
@@ -64,46 +72,77 @@ class Encoder:
 
     def _learn(self, unseen: list[str]) -> None:
         """Ids of new pieces. Words with a blank before them, one after another, are split again as they are, so a
-        thousand of them are encoded as one text and told apart by their word numbers."""
+        thousand of them are encoded as one text and told apart by the blank that only a first id has."""
         words = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
         others = [p for p in unseen if not (p[0] == " " and p[1:].isalpha())]
         self.pieces.update(zip(others, self._raw(others), strict=True))
         blocks = [words[a : a + 1000] for a in range(0, len(words), 1000)]
         width = self.kind.itemsize
-        for block, e in zip(blocks, self.tokenizer.encode_batch(["".join(b) for b in blocks], add_special_tokens=False), strict=True):
-            number = np.array(e.word_ids)
-            cuts = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(number)) * width
+        for block, raw in zip(blocks, self._raw(["".join(b) for b in blocks]), strict=True):
+            cuts = np.append(np.flatnonzero(self.opens[np.frombuffer(raw, self.kind)]) * width, len(raw))
             if len(cuts) != len(block) + 1:
                 self.pieces.update(zip(block, self._raw(block), strict=True))
                 continue
-            raw, at = np.array(e.ids, self.kind).tobytes(), cuts.tolist()
+            at = cuts.tolist()
             self.pieces.update(zip(block, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        self.held += sum(_ENTRY + len(p) + len(self.pieces[p]) for p in unseen)
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks with a blank before each."""
+        if self.held > CACHED_BYTES:
+            self.chunks.clear()
+            self.pieces.clear()
+            self.held = 0
+        known, pieces = self.chunks, self.pieces
+        got = list(map(known.get, chunks))
+        new = [i for i, ids in enumerate(got) if ids is None]
+        own = [self._parts(chunks[i]) for i in new]
+        unseen = {p for x in own for p in x}.difference(pieces)
+        self._learn(list(unseen))
+        for i, parts in zip(new, own, strict=True):
+            ids = got[i] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+            if len(parts) > 1 and len(chunks[i]) <= LONGEST:
+                self.held += _ENTRY + len(chunks[i]) + len(ids)
+                known[chunks[i]] = ids
+            elif len(chunks[i]) <= LONGEST:
+                self.held += _ENTRY
+                known[chunks[i]] = ids
+        for p in unseen:
+            if len(p) > LONGEST:
+                self.held -= _ENTRY + len(p) + len(pieces.pop(p))
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, pieces, new, apart, plain = self.chunks, self.pieces, set(), [], []
-        for cache in (known, pieces):
-            if len(cache) > CACHED:
-                cache.clear()
-        get = known.get
-        for i, text in enumerate(texts):
-            if text[:1] == " " or text[-1:] == " " or "<|" in text or any(x in text for x in (_ASCII if text.isascii() else _ANY)):
-                apart.append((i, text))
-            else:
-                head, *rest = text.split(" ")
-                apart.append((i, head))
-                got = list(map(get, rest))
-                if None in got:
-                    new.update([x for x, ids in zip(rest, got, strict=True) if ids is None])
-                plain.append((i, rest, got))
-        own = {x: self._parts(x) for x in new}
-        self._learn(list({p for x in own.values() for p in x}.difference(pieces)))
-        for x, parts in own.items():
-            known[x] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-        out = self._raw([x for _, x in apart])
-        for i, rest, got in plain:
-            if None in got:
-                got = [known[x] if ids is None else ids for x, ids in zip(rest, got, strict=True)]
-            out[i] += b"".join(got)
+        apart = [i for i, text in enumerate(texts) if text[:1] == " " or text[-1:] == " " or "<|" in text or any(x in text for x in (_ASCII if text.isascii() else _ANY))]
+        odd = set(apart)
+        plain = [i for i in range(len(texts)) if i not in odd]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(apart, self._raw([texts[i] for i in apart]), strict=True):
+            out[i] = ids
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        first = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = self._raw([texts[i].split(" ", 1)[0] for i in plain])  # a text's first chunk has no blank before it
+        rest = np.ones(len(at), bool)
+        rest[first[:-1]] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[at[rest]] = True
+        number = np.cumsum(used) - 1
+        at[rest] = number[at[rest]]
+        at[first[:-1]] = int(used.sum()) + np.arange(len(plain))
+        ids = self._known(coded.dictionary.filter(pa.array(used)).to_pylist()) + heads
+        width = self.kind.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        places = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        ends = np.cumsum(own)
+        flat = np.frombuffer(b"".join(ids), self.kind)[np.repeat(places[at] - (ends - own), own) + np.arange(ends[-1])]
+        raw, cuts = flat.tobytes(), (np.append(0, ends)[first] * width).tolist()
+        for i, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
+            out[i] = raw[a:b]
         return out
 
     def _parts(self, chunk: str) -> list[str]:
