@@ -26,18 +26,22 @@ from pyspark.sql import functions as F
 
 from strandlab.llm.common import mapped, new_folder, per_row, stage
 
-#: Bytes of chunks and pieces, and of what they become, that a worker remembers; when there are so many, it starts anew.
-CACHED_BYTES = 96 << 20
+#: Bytes of chunks and pieces, and of what they become, that a worker remembers. When there are so many, they become the
+#: old ones, of which those that come up again are kept: twice as many bytes are held at most.
+CACHED_BYTES = 80 << 20
 #: Bytes of one remembered entry besides its text and its ids; longer chunks than LONGEST are not remembered.
 _ENTRY, LONGEST = 220, 200
+#: Texts that are encoded together.
+ROWS = 1_000
 #: How the vocabulary's pre-tokenizer splits a text (fixed value).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 0
 #: What sets a text apart: blanks next to other white space, or white space beyond ASCII.
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_ASCII = tuple(dict.fromkeys(x for c in _SPACES if c.isascii() for x in (" " + c, c + " ")))
-_ANY = (*_ASCII, *(c for c in _SPACES if not c.isascii()))
+_ASCII, _OTHER = ("".join(c for c in _SPACES if c.isascii() is plain) for plain in (True, False))
+_APART = rf"\A\x20|\x20\z|<\||\x20[{_ASCII}]|[{_ASCII}]\x20|[{_OTHER}]"
 _MASK = 0xA282EAD8
+_MARKS = frozenset(".,;:!?")
 
 
 def masked_crc(data: bytes) -> int:
@@ -59,8 +63,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         n = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}  # ids of a chunk with a blank before it
-        self.pieces: dict[str, bytes] = {}
+        #: Ids of pieces, and of chunks with the blank before them.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
         self.split = regex.compile(PIECE).findall
         blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # how the vocabulary writes a blank
@@ -70,58 +75,66 @@ class Encoder:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, unseen: list[str]) -> None:
+    def _learn(self, unseen: list[str]) -> dict[str, bytes]:
         """Ids of new pieces. Words with a blank before them, one after another, are split again as they are, so a
         thousand of them are encoded as one text and told apart by the blank that only a first id has."""
         words = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
         others = [p for p in unseen if not (p[0] == " " and p[1:].isalpha())]
-        self.pieces.update(zip(others, self._raw(others), strict=True))
+        out = dict(zip(others, self._raw(others), strict=True))
         blocks = [words[a : a + 1000] for a in range(0, len(words), 1000)]
         width = self.kind.itemsize
         for block, raw in zip(blocks, self._raw(["".join(b) for b in blocks]), strict=True):
             cuts = np.append(np.flatnonzero(self.opens[np.frombuffer(raw, self.kind)]) * width, len(raw))
             if len(cuts) != len(block) + 1:
-                self.pieces.update(zip(block, self._raw(block), strict=True))
+                out.update(zip(block, self._raw(block), strict=True))
                 continue
             at = cuts.tolist()
-            self.pieces.update(zip(block, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-        self.held += sum(_ENTRY + len(p) + len(self.pieces[p]) for p in unseen)
+            out.update(zip(block, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        return out
+
+    def _remember(self, own: dict[str, bytes]) -> None:
+        own = {p: ids for p, ids in own.items() if len(p) <= LONGEST}
+        self.known.update(own)
+        self.held += _ENTRY * len(own) + sum(map(len, own)) + sum(map(len, own.values()))
 
     def _known(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks with a blank before each."""
+        """Ids of distinct chunks, each with the blank before it."""
         if self.held > CACHED_BYTES:
-            self.chunks.clear()
-            self.pieces.clear()
-            self.held = 0
-        known, pieces = self.chunks, self.pieces
-        got = list(map(known.get, chunks))
-        new = [i for i, ids in enumerate(got) if ids is None]
+            self.known, self.old, self.held = {}, self.known, 0
+        got = list(map(self.known.get, chunks))
+        rest = [i for i, ids in enumerate(got) if ids is None]
+        again = list(map(self.old.get, (chunks[i] for i in rest)))
+        self._remember({chunks[i]: ids for i, ids in zip(rest, again, strict=True) if ids is not None})
+        new = []
+        for i, ids in zip(rest, again, strict=True):
+            got[i] = ids
+            if ids is None:
+                new.append(i)
         own = [self._parts(chunks[i]) for i in new]
-        unseen = {p for x in own for p in x}.difference(pieces)
-        self._learn(list(unseen))
+        pieces = {p for x in own for p in x}
+        have = {p: ids for p in pieces if (ids := self.known.get(p) or self.old.get(p)) is not None}
+        learnt = self._learn([p for p in pieces if p not in have])
+        self._remember(learnt)
+        have |= learnt
+        longer = {}
         for i, parts in zip(new, own, strict=True):
-            ids = got[i] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-            if len(parts) > 1 and len(chunks[i]) <= LONGEST:
-                self.held += _ENTRY + len(chunks[i]) + len(ids)
-                known[chunks[i]] = ids
-            elif len(chunks[i]) <= LONGEST:
-                self.held += _ENTRY
-                known[chunks[i]] = ids
-        for p in unseen:
-            if len(p) > LONGEST:
-                self.held -= _ENTRY + len(p) + len(pieces.pop(p))
+            if len(parts) == 1:
+                got[i] = have[parts[0]]
+            else:
+                got[i] = longer[chunks[i]] = b"".join([have[p] for p in parts])
+        self._remember(longer)
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        apart = [i for i, text in enumerate(texts) if text[:1] == " " or text[-1:] == " " or "<|" in text or any(x in text for x in (_ASCII if text.isascii() else _ANY))]
-        odd = set(apart)
-        plain = [i for i in range(len(texts)) if i not in odd]
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _APART).to_numpy(zero_copy_only=False)
+        apart, plain = np.flatnonzero(odd).tolist(), np.flatnonzero(~odd).tolist()
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(apart, self._raw([texts[i] for i in apart]), strict=True):
             out[i] = ids
         if not plain:
             return out
-        lists = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        lists = pc.split_pattern(column.filter(pa.array(~odd)), " ")
         first = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -133,7 +146,9 @@ class Encoder:
         number = np.cumsum(used) - 1
         at[rest] = number[at[rest]]
         at[first[:-1]] = int(used.sum()) + np.arange(len(plain))
-        ids = self._known(coded.dictionary.filter(pa.array(used)).to_pylist()) + heads
+        none, blank = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        chunks = pc.binary_join_element_wise(none, coded.dictionary.filter(pa.array(used)), blank)
+        ids = self._known(chunks.to_pylist()) + heads
         width = self.kind.itemsize
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         places = np.cumsum(sizes) - sizes
@@ -148,11 +163,12 @@ class Encoder:
     def _parts(self, chunk: str) -> list[str]:
         """The pre-tokenizer's pieces of a chunk with a blank before it; letters, and letters with a mark after them, are
         the common cases."""
-        if chunk.isalpha():
-            return [" " + chunk]
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.split(" " + chunk)
+        word = chunk[1:]
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
 
 
 @lru_cache(2)
@@ -183,8 +199,8 @@ def _writer(folder: str, vocabulary: str, end_id: int):
                 out = store.open_output_stream(f"{base}/{name}.records")
             ids = batch.column("doc_id").to_pylist()
             column = batch.column("text")
-            for a in range(0, len(ids), 500):
-                for doc, raw in zip(ids[a : a + 500], encoder.encode(column.slice(a, 500).to_pylist()), strict=True):
+            for a in range(0, len(ids), ROWS):
+                for doc, raw in zip(ids[a : a + ROWS], encoder.encode(column.slice(a, ROWS).to_pylist()), strict=True):
                     payload = doc.to_bytes(8, "little", signed=True) + bytes([encoder.kind.itemsize]) + raw + end
                     size = len(payload).to_bytes(8, "little")
                     frame = b"".join((size, masked_crc(size).to_bytes(4, "little"), payload, masked_crc(payload).to_bytes(4, "little")))
