@@ -10,9 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Most bytes of the rows that a Python worker gets at once (one longer row comes alone).
-BATCH_BYTES = 16 << 20
-_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's bound on the bytes of the rows that a Python worker gets at once, and the lower one that takes its place.
+_BYTES, _DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"
 
 _shipped: set[str] = set()
 
@@ -31,10 +30,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def mapped(df: DataFrame, run: Callable, kind: str | T.StructType) -> DataFrame:
-    """df.mapInArrow(run, kind), on workers that have this package. Batches are bounded in bytes, unless the session has a
-    bound of its own."""
+    """df.mapInArrow(run, kind), on workers that have this package, in batches of BATCH_BYTES (one longer row comes
+    alone) unless the session has a bound of its own."""
     spark = df.sparkSession
     ship(spark)
-    if int(spark.conf.get(_BYTES)) > 1 << 30:
+    if spark.conf.get(_BYTES) == _DEFAULT:
         spark.conf.set(_BYTES, BATCH_BYTES)
     return df.mapInArrow(run, kind)
