@@ -59,6 +59,23 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def _literal(x) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(x)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """A few rows of numbers and strings as literals of the plan, which needs no Python to run. kind: "a int, b string"."""
+    columns = [c.split() for c in kind.split(",")]
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS `{c}`" for c, k in columns) + " WHERE false")
+    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return spark.sql("SELECT " + ", ".join(f"CAST(v{i} AS {k}) AS `{c}`" for i, (c, k) in enumerate(columns)) + f" FROM VALUES {values} AS t(" + ", ".join(f"v{i}" for i in range(len(columns))) + ")")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -79,7 +96,7 @@ def row_numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     for r in sorted(sizes, key=lambda r: r["__p"]):
         offsets.append((r["__p"], before))
         before += r["count"]
-    table = df.sparkSession.createDataFrame(offsets, "__p int, __before long")
+    table = small_table(df.sparkSession, offsets, "__p int, __before long")
     return parts.join(F.broadcast(table), "__p").withColumn(out, F.col("__before") + F.col("__i").bitwiseAND((1 << 33) - 1)).drop("__p", "__i", "__before")
 
 

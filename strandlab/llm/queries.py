@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.llm.chat import read_back, windows
-from strandlab.llm.common import documents, stage
+from strandlab.llm.common import documents, small_table, stage
 from strandlab.llm.decontaminate import contaminated
 from strandlab.llm.exact_dedup import exact_duplicates
 from strandlab.llm.merge_dropout import encode_decode
@@ -55,7 +55,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", tag), (-7, 1, "assistant", tag)], "conv_id long, turn long, role string, text string")
+    own = small_table(spark, [(-7, 0, "user", tag), (-7, 1, "assistant", tag)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return read_back(stage(windows(rows.unionByName(own)), "formatted"))
 

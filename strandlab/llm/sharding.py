@@ -6,8 +6,8 @@ medians of all nodes of a level are found together by refining histograms: each
 the driver sees the sums of at most BINS bins for each node. Equal coordinates are told apart by a hash of the text, so
 a split can fall between any two points.
 
-A text whose copies together exceed a quarter of a shard's bytes is dealt in parts by a hash of doc_id, as no shard
-could hold it within the law; every other text lies in one shard."""
+All copies of a text lie in one shard. A text whose copies together have more bytes than an even share of what is left
+fills a shard of its own (the largest first), and the tree deals the other texts evenly over the other shards."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import per_row, stage
+from strandlab.llm.common import per_row, small_table, stage
 
 DIMENSIONS = ("doc", "bytes", "lang", "source")
 BINS = 2048
@@ -31,8 +31,9 @@ def shards(docs: DataFrame, n: int = 8) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32, law ("bytes"), shard (0 to n-1), slot (from 0
     without gaps, by doc_id within the shard), grown_shard (null under this law).
 
-    Null metadata counts as the empty string. Rows with a null or repeated doc_id count as documents of their own (see
-    per_row); an empty table gives an empty result."""
+    Null metadata counts as the empty string, missing metadata as well; of copies the smallest metadata count. Rows with a
+    null or repeated doc_id count as documents of their own (see per_row); an empty table gives an empty result; columns but
+    doc_id, text, lang and source are not looked at."""
     return per_row(docs, lambda d: _shards(d, n))
 
 
@@ -48,17 +49,22 @@ def _shards(docs: DataFrame, n: int) -> DataFrame:
         F.crc32(F.coalesce(_has(docs, "source"), F.lit(""))).alias("source"),
     )
     rows = stage(own, "sizes")
-    totals = rows.agg(F.sum("size")).first()[0] or 0
-    large = rows.groupBy("h").agg(F.sum("size").alias("w")).where(F.col("w") > totals / (4 * n)).select("h", F.ceil(F.col("w") * 256 * n / max(totals, 1)).alias("parts"))
-    # at most 4 * n texts are that large
-    parted = rows.join(F.broadcast(large), "h", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), "parts"))).drop("parts")
-    points = parted.groupBy("h", "part").agg(F.sum("size").alias("w"), F.min("doc_id").alias("doc"), F.max("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    points = rows.groupBy("h").agg(F.sum("size").alias("w"), F.min("doc_id").alias("doc"), F.max("size").alias("bytes"), F.min("lang").alias("lang"), F.min("source").alias("source"))
     points = stage(points, "points")
+    left = points.agg(F.sum("w")).first()[0] or 0
+    alone = []
+    for r in points.orderBy(F.desc("w"), "h").select("h", "w").limit(n).collect():  # at most n texts are that large
+        if n - len(alone) == 1 or r["w"] * (n - len(alone)) <= left:
+            break
+        alone.append((r["h"], n - 1 - len(alone)))
+        left -= r["w"]
+    own_shard = F.broadcast(small_table(spark, alone, "h bigint, shard int"))
+    points = points.join(own_shard.select("h"), "h", "left_anti")
     low = points.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in DIMENSIONS for f in (F.min, F.max))).first()
     scaled = [F.floor((F.col(c).cast("double") - F.lit(float(low[f"min_{c}"] or 0))) / max(1.0, float(low[f"max_{c}"] or 0) - float(low[f"min_{c}"] or 0)) * (_SCALE - 1)).cast("long").alias(c) for c in DIMENSIONS]
-    points = stage(points.select("h", "part", "w", *scaled, F.xxhash64("h", "part").bitwiseAND(2**32 - 1).alias("tie")), "scaled")
-    leaves = _tree(points, n)
-    placed = parted.select("doc_id", "size", "text_crc32", "h", "part").join(leaves, ["h", "part"]).drop("h", "part")
+    points = stage(points.select("h", "w", *scaled, F.xxhash64("h").bitwiseAND(2**32 - 1).alias("tie")), "scaled")
+    leaves = _tree(points, n - len(alone)).unionByName(own_shard)
+    placed = rows.select("doc_id", "size", "text_crc32", "h").join(leaves, "h").drop("h")
     parts = placed.repartitionByRange("shard", "doc_id").sortWithinPartitions("shard", "doc_id").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
     parts = stage(parts, "slots")
     counts = parts.groupBy("p", "shard").agg(F.min("i").alias("first"), F.count("*").alias("c")).collect()  # a row for each partition, and n more
@@ -67,13 +73,13 @@ def _shards(docs: DataFrame, n: int) -> DataFrame:
     for r in sorted(counts, key=lambda r: (r["shard"], r["p"])):
         offsets.append((r["p"], r["shard"], before.get(r["shard"], 0) - r["first"]))
         before[r["shard"]] = before.get(r["shard"], 0) + r["c"]
-    table = spark.createDataFrame(offsets, "p int, shard int, offset long")
+    table = small_table(spark, offsets, "p int, shard int, offset bigint")
     out = parts.join(F.broadcast(table), ["p", "shard"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("i") + F.col("offset")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _tree(points: DataFrame, n: int) -> DataFrame:
-    """h, part, shard: the leaf of every point."""
+    """h, shard: the leaf of every point."""
     spark = points.sparkSession
     cur = points.withColumn("node", F.lit(0))
     todo = {0: (0, n)}  # node: its first shard and how many it holds
@@ -87,7 +93,7 @@ def _tree(points: DataFrame, n: int) -> DataFrame:
                 dim = max(DIMENSIONS, key=lambda c: r[c]["x"])
                 splits[r["node"]] = {"dim": dim, "low": r[dim]["low"] << 32, "high": (r[dim]["high"] + 1) << 32, "below": 0, "goal": r["w"] * (k // 2) / k, "all": r["w"]}
         while work := {v: s for v, s in splits.items() if s["high"] - s["low"] > 1 and s.get("inside", s["all"]) > s["all"] * 1e-5}:
-            table = spark.createDataFrame([(v, s["dim"], s["low"], s["high"], max(1, math.ceil((s["high"] - s["low"]) / BINS))) for v, s in work.items()], "node int, dim string, low long, high long, step long")
+            table = small_table(spark, [(v, s["dim"], s["low"], s["high"], max(1, math.ceil((s["high"] - s["low"]) / BINS))) for v, s in work.items()], "node int, dim string, low bigint, high bigint, step bigint")
             sums = _keyed(cur.join(F.broadcast(table), "node")).where("key >= low and key < high")
             sums = sums.groupBy("node", F.floor((F.col("key") - F.col("low")) / F.col("step")).cast("int").alias("bin")).agg(F.sum("w").alias("w")).collect()
             bins: dict[int, list] = {}
@@ -116,12 +122,12 @@ def _tree(points: DataFrame, n: int) -> DataFrame:
                 cuts.append((v, DIMENSIONS[0], 0, names, names))
                 done[names] = (first, 1)  # a leaf, or without points
                 names += 1
-        table = spark.createDataFrame(cuts, "node int, dim string, at long, a int, b int")
+        table = small_table(spark, cuts, "node int, dim string, at bigint, a int, b int")
         moved = _keyed(cur.join(F.broadcast(table), "node")).withColumn("node", F.when(F.col("key") < F.col("at"), F.col("a")).otherwise(F.col("b")))
         cur = stage(moved.select(*points.columns, "node"), "nodes")
         todo = done
-    table = spark.createDataFrame([(v, first) for v, (first, _) in todo.items()], "node int, shard int")
-    return cur.join(F.broadcast(table), "node").select("h", "part", "shard")
+    table = small_table(spark, [(v, first) for v, (first, _) in todo.items()], "node int, shard int")
+    return cur.join(F.broadcast(table), "node").select("h", "shard")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
