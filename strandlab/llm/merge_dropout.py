@@ -32,8 +32,11 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import mapped, per_row
 
 MARK = "▁"
-#: Chunks whose ids a worker remembers, without skipped pairs and as many with some; when there are so many, it starts anew.
-CACHED_CHUNKS = 200_000
+#: Bytes of chunks and their ids that a worker remembers; when there are so many, it starts anew. Longer chunks than
+#: LONGEST are not remembered.
+CACHED_BYTES, LONGEST = 48 << 20, 200
+#: Bytes of one remembered entry besides its text and its ids.
+_ENTRY = 300
 _CHUNK = re.compile(r" *[^ ]+| +")
 
 
@@ -188,18 +191,22 @@ class Model:
 
 
 class Encoder:
-    def __init__(self, path: str, dropout: float, seed: int, remembered: int = CACHED_CHUNKS):
+    def __init__(self, path: str, dropout: float, seed: int, remembered: int = CACHED_BYTES):
         self.model = Model(path)
         self.below, self.seed, self.remembered = int(dropout * 2**32), seed, remembered
         self.cuts = _gaps(self.below) if self.below else []
         self.ascending = np.array(self.cuts, np.uint64)
         #: Pairs that come up and ids: of chunks (named without their first blank) without skipped pairs, of (chunk, skipped pairs).
+        self.held = 0
         self.whole: dict[str, tuple[int, bytes]] = {}
         self.skipped: dict[tuple, tuple[int, bytes]] = {}
 
     def _new(self, chunk: str, key: int) -> bytes:
         ids, came, skips = self.model.drawn(" " + chunk, key, self.below)
         got = came, array(self.model.code, ids).tobytes()
+        if len(chunk) > LONGEST:
+            return got[1]
+        self.held += _ENTRY + 2 * len(chunk) + len(got[1])
         if skips:
             self.skipped[chunk, *skips] = got
         else:
@@ -223,9 +230,10 @@ class Encoder:
             chunks = [x[1:] for x in _CHUNK.findall(" " + text)]
         else:
             chunks = text.split(" ")
-        for k in (self.whole, self.skipped):
-            if len(k) > self.remembered:
-                k.clear()
+        if self.held > self.remembered:
+            self.whole.clear()
+            self.skipped.clear()
+            self.held = 0
         out, whole = [], self.whole.get
         if not self.below:
             for chunk in chunks:

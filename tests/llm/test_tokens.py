@@ -96,6 +96,36 @@ def test_both_agendas_agree(monkeypatch):
         monkeypatch.setattr(merge_dropout, "SHORT", 40)
 
 
+def naive(model, chunk, key, below):
+    """Agenda by definition: all adjacent pairs looked at for each merge."""
+    cuts = merge_dropout._gaps(below)
+    skip, skipped, came = merge_dropout._gap(key, 0, cuts), 0, 0
+    piece, banned = [merge_dropout.MARK if c == " " else c for c in chunk], set()
+    own = list(range(len(piece)))  # a name for each symbol, a new one after each merge
+    while True:
+        pairs = [(-model.score[piece[i] + piece[i + 1]], i) for i in range(len(piece) - 1) if piece[i] + piece[i + 1] in model.score and (own[i], own[i + 1]) not in banned]
+        if not pairs:
+            break
+        i = min(pairs)[1]
+        came += 1
+        if came - 1 == skip:
+            skipped += 1
+            skip = came + merge_dropout._gap(key, skipped, cuts)
+            banned.add((own[i], own[i + 1]))
+            continue
+        piece[i : i + 2], own[i : i + 2] = [piece[i] + piece[i + 1]], [max(own) + len(chunk)]
+    return [x for p in piece for x in ([model.ids[p]] if p in model.ids else [model.byte_id[b] for b in p.encode()])]
+
+
+def test_dropout_against_brute_force(spark):
+    model = merge_dropout.Model(PIECES)
+    words = sorted({w for r in documents(spark, SF).limit(40).collect() for w in (r.text or "").split()})[:1500]
+    for k, word in enumerate(words):
+        if merge_dropout.MARK not in word:
+            for below in (2**28, 2**31):
+                assert model.segment(" " + word, 1234567 * k, below) == naive(model, " " + word, 1234567 * k, below), word
+
+
 def test_each_occurrence_draws_anew():
     word = "internationalisation"
     text = " ".join([word] * 3000)
