@@ -169,3 +169,45 @@ def test_names_that_open_sentences_runs_and_joined_units(spark):
     bench = spark.createDataFrame([(1, item), (2, trip)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.same_fillers for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
     assert got == {(1, 1): False, (3, 2): False, (5, 1): True, (6, 2): True}
+
+
+def test_slots_both_ways_number_words_and_long_texts(spark):
+    item = "Yesterday Anna gave Bella 12 red marbles and then Bella gave Anna 15 of the small green marbles that she had found"
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(120_000))
+    rows = [
+        (1, "Yesterday Carla gave Diana 7 red marbles and then Diana gave Carla 7 of the small green marbles that she had found"),
+        (2, "Yesterday Carla gave Carla 7 red marbles and then Carla gave Carla 9 of the small green marbles that she had found"),
+        (3, "Yesterday Carla gave Diana seven red marbles and then Diana gave Carla twenty of the small green marbles that she had found"),
+        (4, f"{long} {item} {long}"),
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.same_fillers for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (3, 1): False, (4, 1): True}
+
+
+def test_literal_items_against_brute_force(spark):
+    """Items without slots: a document has one if and only if SHARE of its windows are among the document's, in place."""
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefghijklmnopq") + rng.choice("aeiou") + rng.choice("rstn")
+    items = [(i, " ".join(word() for _ in range(rng.randrange(3, 25)))) for i in range(30)]
+    rows = []
+    for d in range(200):
+        parts = [word() for _ in range(rng.randrange(0, 30))]
+        if rng.random() < 0.7:
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(0, 3)):
+                own[rng.randrange(len(own))] = word()
+            parts += own
+        rows.append((d, " ".join(parts + [word() for _ in range(rng.randrange(0, 9))])))
+    want = set()
+    for d, text in rows:
+        w = text.split()
+        for i, item in items:
+            t = item.split()
+            k = min(decontaminate.WINDOW, len(t))
+            windows = [tuple(t[a : a + k]) for a in range(len(t) - k + 1)]
+            there = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)}
+            if sum(x in there for x in windows) >= decontaminate.SHARE * len(windows):
+                want.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), bench).collect()} == want and len(want) > 50
