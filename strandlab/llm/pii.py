@@ -33,6 +33,8 @@ GENERATORS = {
     "phone": ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "email_at": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++"),
     "phone_loose": ("phone", r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
+    "phone_local": ("phone", r"(?<![0-9+./-])0[0-9]{1,4}[\x20/-][0-9]{2,4}(?:[\x20-][0-9]{2,4}){1,3}(?![0-9])"),
+    "ip_loose": ("ip", r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20?[\[(](?:\.|dot)[\])]\x20?|\x20\.\x20)[0-9]{1,3}){3}(?![0-9.])"),
     "card_loose": ("card", r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])"),
 }
 TRIGGER = r"[0-9]|@|[\[(]at[\])]"
@@ -110,11 +112,12 @@ def features(rows: DataFrame) -> DataFrame:
         m.rlike(r"\(").cast("int"),
         m.rlike(r"^[0-9]{4}([ ./_-]?[0-9]{4}){3}$").cast("int"),
         m.rlike(r"(?i)at").cast("int"),
+        F.forall(F.split(m, "[^0-9]+"), lambda x: (F.length(x) <= 3) & (F.coalesce(F.substring(x, 1, 3).try_cast("int"), F.lit(0)) <= 255)).cast("int"),
     ]
     return rows.withColumns({f"f{i}": c for i, c in enumerate(own)})
 
 
-N_FEATURES = 15
+N_FEATURES = 16
 
 
 def _made_up() -> list[tuple[int, str, str]]:
@@ -131,7 +134,7 @@ def _made_up() -> list[tuple[int, str, str]]:
 
     for i in range(TRAIN_ROWS):
         good = rng.random() < 0.5
-        shape = rng.randrange(5)
+        shape = rng.randrange(7)
         if shape == 0:
             thing = f"{word()}.{word()}{rng.choice([' [at] ', '[at]', ' (at) '])}{word()}{rng.choice(['.', ' [dot] '])}{rng.choice(['com', 'org', 'net'])}"
             lead = rng.choice(["mail me: ", "contact ", "write to ", word() + " "]) if good else rng.choice(["version ", "ref ", "id="])
@@ -145,11 +148,17 @@ def _made_up() -> list[tuple[int, str, str]]:
         elif shape == 3:
             thing = ".".join(number(3) for _ in range(4)) if not good else f"+{number(9)}"
             lead = rng.choice(["call ", "phone "]) if good else rng.choice(["version ", word() + " ", "page "])
+        elif shape == 5:
+            thing = rng.choice(["[.]", "(.)", " . ", "[dot]", " [dot] "]).join(str(rng.randrange(256) if good else rng.choice([rng.randrange(256), rng.randrange(256, 1000)])) for _ in range(4))
+            lead = rng.choice(["ip ", "server ", "host ", "address ", word() + " "]) if good else rng.choice(["version ", "page ", "ref ", "section "])
+        elif shape == 6:
+            thing = "0" + number(rng.randrange(1, 4)) + rng.choice([" ", "/", "-"]) + rng.choice([" ", "-"]).join(number(rng.randrange(2, 5)) for _ in range(rng.randrange(2, 4)))
+            lead = rng.choice(["call ", "phone: ", "tel. ", "ruf ", "fax "]) if good else rng.choice(["order ", "invoice ", "serial no. ", "ref ", word() + " ", "page "])
         else:
             good = False
             thing = rng.choice([f"20{number(2)}-{number(2)}-{number(2)}", number(rng.randrange(1, 12)), f"{number(2)}:{number(2)}", f"{number(1)},{number(3)},{number(3)}", f"{number(3)}-{number(4)}", number(16)])
             lead = rng.choice([word() + " ", "on ", "call ", "card ", "phone "])
-        out.append((i, f"{word()} {word()} {lead}{thing} {word()}", ("email", "phone", "card", "phone", "")[shape] if good else ""))
+        out.append((i, f"{word()} {word()} {lead}{thing} {word()}", ("email", "phone", "card", "phone", "", "ip", "phone")[shape] if good else ""))
     return out
 
 
@@ -250,14 +259,16 @@ def _find(docs: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy("start", F.col("base").desc(), F.col("end").desc(), "rank")
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
     clash = (F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(before), F.lit(0)) > F.col("start")) | (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(after), F.col("end")) < F.col("end"))
-    rows = rows.withColumn("clash", ~F.col("base") & clash)
-    rows = rows.where(~F.col("clash"))
-    inside = ~F.col("base") & (F.coalesce(F.max("end").over(before), F.lit(0)) > F.col("start"))
-    rows = rows.withColumn("inside", inside).where(~F.col("inside"))
+    rows = rows.withColumn("clash", ~F.col("base") & clash).where(~F.col("clash"))
     span = F.struct("start", "rank", F.concat_ws(":", "kind", F.col("start"), F.col("end")).alias("s"))
-    names = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["s"]), ",")
+    added = F.struct("start", (-F.col("end")).alias("back"), "rank", span.alias("span"), F.col("end").alias("end"))
     counts = [F.count(F.when(F.col("base") & (F.col("kind") == k), 1)).alias(f"n_{k}") for k in KINDS]
-    own = rows.groupBy("doc_id").agg(*counts, names(F.collect_list(F.when(F.col("base"), span))).alias("b"), names(F.collect_list(span)).alias("spans"), F.count(F.when(~F.col("base"), 1)).alias("n_added"))
+    own = rows.groupBy("doc_id").agg(*counts, F.collect_list(F.when(F.col("base"), span)).alias("base"), F.sort_array(F.collect_list(F.when(~F.col("base"), added))).alias("more"))
+    # from left to right, an added span stays unless it overlaps one that stayed
+    kept = F.aggregate("more", F.struct(F.lit(0).cast("int").alias("upto"), F.slice(F.transform("more", lambda x: x["span"]), 1, 0).alias("kept")), lambda s, x: F.when(x["start"] >= s["upto"], F.struct(x["end"].cast("int").alias("upto"), F.concat(s["kept"], F.array(x["span"])).alias("kept"))).otherwise(s), lambda s: s["kept"])
+    own = own.withColumn("more", kept)
+    names = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x["s"]), ",")
+    own = own.select("doc_id", *(f"n_{k}" for k in KINDS), names(F.col("base")).alias("b"), names(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_added"))
     zero, empty = F.lit(0).cast("long"), F.lit("")
     out = ids.join(own, "doc_id", "left")
     return out.select("doc_id", *(F.coalesce(f"n_{k}", zero).alias(f"n_{k}") for k in KINDS), F.sha2(F.coalesce("b", empty), 256).alias("base_sha256"), F.coalesce("spans", empty).alias("spans"), F.coalesce("n_added", zero).alias("n_added"))

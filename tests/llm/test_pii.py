@@ -56,6 +56,16 @@ def test_base_spans(spark):
     assert got[5].spans == "" and got[3].spans == ""
 
 
+def test_added_spans(spark):
+    """Each kind has a threshold; an added span goes only where it overlaps one that stays."""
+    trees, limits = pii.fitted(spark)
+    assert all(v < 1e9 for v in limits.values()), limits
+    texts = [(1, "the server 10 . 0 . 0 . 7 is up, host 192[.]168[.]1[.]20 too"), (2, "version 10 . 0 . 0 . 7 of page 900[.]168[.]1[.]20"), (3, "call 030 1234 5678 now"), (4, "order 030 1234 5678 now")]
+    got = {r.doc_id: r.spans for r in pii.find(table(spark, texts)).collect()}
+    at = texts[0][1].index("192")
+    assert got == {1: f"ip:11:25,ip:{at}:{at + len('192[.]168[.]1[.]20')}", 2: "", 3: "phone:5:18", 4: ""}
+
+
 def test_messy_and_empty(spark):
     assert len(pii.find(table(spark, MESSY)).collect()) == len(MESSY)
     assert pii.find(table(spark, [])).collect() == []
