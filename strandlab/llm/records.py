@@ -26,22 +26,19 @@ from pyspark.sql import functions as F
 
 from strandlab.llm.common import mapped, new_folder, per_row, stage
 
-#: Bytes of chunks and pieces, and of what they become, that a worker remembers. When there are so many, they become the
+#: Bytes of chunks, and of what they become, that a worker remembers. When there are so many, they become the
 #: old ones, of which those that come up again are kept: twice as many bytes are held at most.
 CACHED_BYTES = 80 << 20
 #: Bytes of one remembered entry besides its text and its ids; longer chunks than LONGEST are not remembered.
 _ENTRY, LONGEST = 220, 200
 #: Texts that are encoded together.
-ROWS = 1_000
-#: How the vocabulary's pre-tokenizer splits a text (fixed value).
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ROWS = 4_000
 END_ID = 0
 #: What sets a text apart: blanks next to other white space, or white space beyond ASCII.
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ASCII, _OTHER = ("".join(c for c in _SPACES if c.isascii() is plain) for plain in (True, False))
 _APART = rf"\A\x20|\x20\z|<\||\x20[{_ASCII}]|[{_ASCII}]\x20|[{_OTHER}]"
 _MASK = 0xA282EAD8
-_MARKS = frozenset(".,;:!?")
 
 
 def masked_crc(data: bytes) -> int:
@@ -53,21 +50,19 @@ def masked_crc(data: bytes) -> int:
 class Encoder:
     """Ids of whole texts. A single blank between two characters that aren't white space always starts a new piece of the
     pre-tokenizer, so what lies between such blanks is encoded by itself and remembered; texts with other blanks or with
-    what may be a special token are encoded in one go. Chunks are told apart in Arrow: Python sees each one once in a batch.
-    A chunk that is new is split into the pre-tokenizer's pieces."""
+    what may be a special token are encoded in one go. Chunks are told apart in Arrow: Python sees each one once in a batch,
+    and the tokenizer those that are new."""
 
     def __init__(self, vocabulary: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         n = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        #: Ids of pieces, and of chunks with the blank before them.
+        #: Ids of chunks with the blank before them.
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
-        self.split = regex.compile(PIECE).findall
         blank = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # how the vocabulary writes a blank
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(n)])
 
@@ -75,25 +70,22 @@ class Encoder:
         code = "H" if self.kind.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, unseen: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Words with a blank before them, one after another, are split again as they are, so a
-        thousand of them are encoded as one text and told apart by the blank that only a first id has."""
-        words = [p for p in unseen if p[0] == " " and p[1:].isalpha()]
-        others = [p for p in unseen if not (p[0] == " " and p[1:].isalpha())]
-        out = dict(zip(others, self._raw(others), strict=True))
-        blocks = [words[a : a + 1000] for a in range(0, len(words), 1000)]
-        width = self.kind.itemsize
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new chunks, each with the blank before it. One after another they are split again as they are, so a
+        thousand of them are encoded as one text and told apart by the blank that only a chunk's first id has."""
+        out, width = [], self.kind.itemsize
+        blocks = [chunks[a : a + 1000] for a in range(0, len(chunks), 1000)]
         for block, raw in zip(blocks, self._raw(["".join(b) for b in blocks]), strict=True):
             cuts = np.append(np.flatnonzero(self.opens[np.frombuffer(raw, self.kind)]) * width, len(raw))
             if len(cuts) != len(block) + 1:
-                out.update(zip(block, self._raw(block), strict=True))
+                out += self._raw(block)
                 continue
             at = cuts.tolist()
-            out.update(zip(block, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
         return out
 
-    def _remember(self, own: dict[str, bytes]) -> None:
-        own = {p: ids for p, ids in own.items() if len(p) <= LONGEST}
+    def _remember(self, chunks: list[str], ids: list[bytes]) -> None:
+        own = {p: x for p, x in zip(chunks, ids, strict=True) if len(p) <= LONGEST}
         self.known.update(own)
         self.held += _ENTRY * len(own) + sum(map(len, own)) + sum(map(len, own.values()))
 
@@ -102,27 +94,17 @@ class Encoder:
         if self.held > CACHED_BYTES:
             self.known, self.old, self.held = {}, self.known, 0
         got = list(map(self.known.get, chunks))
-        rest = [i for i, ids in enumerate(got) if ids is None]
-        again = list(map(self.old.get, (chunks[i] for i in rest)))
-        self._remember({chunks[i]: ids for i, ids in zip(rest, again, strict=True) if ids is not None})
-        new = []
-        for i, ids in zip(rest, again, strict=True):
-            got[i] = ids
-            if ids is None:
-                new.append(i)
-        own = [self._parts(chunks[i]) for i in new]
-        pieces = {p for x in own for p in x}
-        have = {p: ids for p in pieces if (ids := self.known.get(p) or self.old.get(p)) is not None}
-        learnt = self._learn([p for p in pieces if p not in have])
-        self._remember(learnt)
-        have |= learnt
-        longer = {}
-        for i, parts in zip(new, own, strict=True):
-            if len(parts) == 1:
-                got[i] = have[parts[0]]
-            else:
-                got[i] = longer[chunks[i]] = b"".join([have[p] for p in parts])
-        self._remember(longer)
+        for find, old in ((lambda x: list(map(self.old.get, x)), True), (self._learn, False)):
+            rest = [i for i, ids in enumerate(got) if ids is None]
+            if not rest or (old and not self.old):
+                continue
+            names = [chunks[i] for i in rest]
+            ids = find(names)
+            for i, x in zip(rest, ids, strict=True):
+                got[i] = x
+            if old:
+                names, ids = [p for p, x in zip(names, ids, strict=True) if x is not None], [x for x in ids if x is not None]
+            self._remember(names, ids)
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -160,16 +142,6 @@ class Encoder:
             out[i] = raw[a:b]
         return out
 
-    def _parts(self, chunk: str) -> list[str]:
-        """The pre-tokenizer's pieces of a chunk with a blank before it; letters, and letters with a mark after them, are
-        the common cases."""
-        word = chunk[1:]
-        if word.isalpha():
-            return [chunk]
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-        return self.split(chunk)
-
 
 @lru_cache(2)
 def encoder_of(vocabulary: str) -> Encoder:
