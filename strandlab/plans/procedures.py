@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.operators import learning
+from strandlab.operators import learning, mechanism
 from strandlab.operators import procedures as P
 
 
@@ -25,6 +25,7 @@ def ncd_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "mechanism_study": mechanism.study,
     "compression_ratio": lambda s, d: P.compression_ratio(_table(s, d, "documents")),
     "compression_shuffle_gain": lambda s, d: P.compression_shuffle_gain(_table(s, d, "documents")),
     "length_pattern_shuffle_gain": lambda s, d: P.compression_shuffle_gain(_table(s, d, "documents"), mode="length"),
