@@ -13,9 +13,12 @@ from pyspark.sql.window import Window
 
 #: Allowed transitions of the nine states (fixed values).
 TRANSITIONS = {
-    "DRAFT": {"REGISTERED", "CANCELLED"}, "REGISTERED": {"QUEUED", "RUNNING", "CANCELLED"}, "QUEUED": {"RUNNING", "CANCELLED"}, "RUNNING": {"COMPLETE", "FAILED", "CANCELLED"},
-    "COMPLETE": {"REVIEWED", "INVALIDATED"}, "REVIEWED": {"INVALIDATED"}, "FAILED": {"QUEUED", "INVALIDATED"}, "CANCELLED": set(), "INVALIDATED": set(),
+    "PENDING": {"RUNNING", "REJECTED"}, "RUNNING": {"COMPLETE", "FAILED"}, "COMPLETE": {"REVIEW_LOCAL"}, "FAILED": {"PENDING"},
+    "REVIEW_LOCAL": {"REJECTED", "PROMISING", "REPLICATE", "ESCALATE_CODEX"}, "PROMISING": {"REPLICATE", "ESCALATE_CODEX"},
+    "REPLICATE": {"RUNNING", "REJECTED", "ESCALATE_CODEX"}, "REJECTED": set(), "ESCALATE_CODEX": set(),
 }
+#: Parts of an experiment that a transition may change (fixed values).
+PATCHABLE = {"normalization", "parameters", "train_split", "heldout_split", "null_model", "metrics", "effects", "artifacts", "local_review", "escalation", "notes"}
 KIND = "event_seq long, experiment_id string, occurred_at string, actor string, from_status string, to_status string, details string, previous_hash string, event_hash string"
 PARTS = ("event_seq", "experiment_id", "occurred_at", "actor", "from_status", "to_status", "details", "previous_hash")
 
@@ -51,7 +54,7 @@ class Ledger:
     def register(self, experiment_id: str, details: dict, actor: str = "lab") -> str:
         if self.events().where(F.col("experiment_id") == experiment_id).limit(1).count():
             raise ValueError(f"{experiment_id} is registered already")
-        return self._append(experiment_id, actor, None, "REGISTERED", details)
+        return self._append(experiment_id, actor, None, "PENDING", details)
 
     def transition(self, experiment_id: str, to: str, details: dict | None = None, actor: str = "lab") -> str:
         row = self.states().where(F.col("experiment_id") == experiment_id).first()
@@ -59,12 +62,17 @@ class Ledger:
             raise KeyError(experiment_id)
         if to not in TRANSITIONS[row.status]:
             raise ValueError(f"{row.status} -> {to} is not allowed")
+        if unknown := set(details or {}) - PATCHABLE - {"owner"}:
+            raise ValueError(f"a transition can't change {sorted(unknown)}")
         return self._append(experiment_id, actor, row.status, to, details or {})
 
     def heartbeat(self, experiment_id: str, owner: str) -> str:
         row = self.states().where(F.col("experiment_id") == experiment_id).first()
         if row is None or row.status != "RUNNING":
             raise ValueError(f"{experiment_id} is not running")
+        held = json.loads(row.details or "{}").get("owner")
+        if held is not None and held != owner:
+            raise ValueError(f"{experiment_id} is run by {held}")
         return self._append(experiment_id, owner, "RUNNING", "RUNNING", {"heartbeat": True, "owner": owner})
 
     def stale(self, seconds: float) -> DataFrame:

@@ -228,7 +228,8 @@ def variant_of(pages: list[list[str]], ids: list, family: str, rep: int, seed: i
     return _flat([_copied(b, _rng(seed, f, rep, d), draws.symbols, window) for b, d in zip(drawn, ids, strict=True)])
 
 
-_KIND = "variant int, kind int, k long, train long, test long"
+#: kind: of the key, and eight times the variant.
+_KIND = "kind int, k long, train int, test int"
 
 
 def _measure(sent, seed: int, replicates: int, window: int, looked_up: bool):
@@ -248,8 +249,8 @@ def _measure(sent, seed: int, replicates: int, window: int, looked_up: bool):
                         g = variant_of(pages, ids, family, rep, seed, draws, own, window)
                     rows = list(_counts(g, held, v, window))
                     sizes = [len(r[2]) for r in rows]
-                    columns = [np.repeat([r[0] for r in rows], sizes).astype(np.int32), np.repeat([r[1] for r in rows], sizes).astype(np.int32), np.concatenate([r[2] for r in rows]).view(np.int64), *(np.concatenate([r[i] for r in rows]).astype(np.int64) for i in (3, 4))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["variant", "kind", "k", "train", "test"])
+                    columns = [np.repeat([8 * r[0] + r[1] for r in rows], sizes).astype(np.int32), np.concatenate([r[2] for r in rows]).view(np.int64), *(np.concatenate([r[i] for r in rows]).astype(np.int32) for i in (3, 4))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "k", "train", "test"])
 
     return run
 
@@ -301,6 +302,8 @@ def _looked_up(pages: DataFrame, types: DataFrame, total: int, seed: int, replic
 def measured(pages: DataFrame, replicates: int, seed: int = 1, window: int = WINDOW, sent_types: int = SENT_TYPES) -> list[dict[str, float]]:
     """The metrics of the observed corpus (first) and of every replicate, by family. pages: doc_id (unique), groups, held."""
     spark = pages.sparkSession
+    # replicates cost far more than the pages' way to all cores
+    pages = pages.select("doc_id", "groups", "held").repartition(max(4 * spark.sparkContext.defaultParallelism, pages.rdd.getNumPartitions()), "doc_id")
     types = pages.select(F.explode("groups").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
     symbols = pages.select(F.explode("groups").alias("g")).select(F.explode(F.split("g", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
     symbols = sorted((ord(r["c"]), r["n"]) for r in symbols.collect())  # as many as there are characters at most
@@ -311,9 +314,11 @@ def measured(pages: DataFrame, replicates: int, seed: int = 1, window: int = WIN
     own = sorted((r["g"], r["n"]) for r in types.collect()) if few else [("", 0)]
     draws = Draws([g for g, _ in own], np.cumsum([n for _, n in own]), np.array([c for c, _ in symbols], np.int64), np.cumsum([n for _, n in symbols]))
     sent = spark.sparkContext.broadcast(draws)
-    rows = pages.select("doc_id", "groups", "held") if few else _looked_up(pages.select("doc_id", "groups", "held"), types, total, seed, replicates)
-    counts = mapped(rows, _measure(sent, seed, replicates, window, not few), _KIND).groupBy("variant", "kind", "k").agg(F.sum("train").alias("train"), F.sum("test").alias("test"))
-    counts = counts.persist(StorageLevel.DISK_ONLY)
+    rows = pages if few else _looked_up(pages, types, total, seed, replicates)
+    counts = mapped(rows, _measure(sent, seed, replicates, window, not few), _KIND).groupBy("kind", "k").agg(F.sum("train").alias("train"), F.sum("test").alias("test"))
+    counts = counts.select(F.shiftright("kind", 3).alias("variant"), F.col("kind").bitwiseAND(7).alias("kind"), "k", "train", "test")
+    # of what held-out pages don't have, only the number of characters and groups matters
+    counts = counts.where((F.col("test") > 0) | F.col("kind").isin(_CHAR, _GROUP, _COPIES)).persist(StorageLevel.DISK_ONLY)
     closing = F.col("k") == _EOS
     sizes = counts.groupBy("variant", "kind").agg(F.count(F.when((F.col("train") > 0) & ~((F.col("kind") == _CHAR) & closing), 1)).alias("types"), F.sum("train").alias("train"), F.sum("test").alias("test")).collect()
     size = {(r["variant"], r["kind"]): r for r in sizes}

@@ -63,19 +63,21 @@ def compression_ratio(docs: DataFrame) -> DataFrame:
 
 
 def compression_shuffle_gain(docs: DataFrame, replicates: int = 4, mode: str = "token") -> DataFrame:
-    """Mean compressed size of shuffled token sequences minus the observed one, for each token. mode "length" looks at
-    token lengths alone."""
+    """Mean compressed size of shuffled sequences minus the observed one: of tokens (mode "token", by first occurrence), for
+    each token; of token lengths as they are (mode "length", 4 bytes each), for each byte."""
 
     def one(r: dict) -> list[dict]:
-        seq = r["t"] if mode == "token" else [len(x) for x in r["t"]]
+        lengths = mode == "length"
+        seq = [len(x) for x in r["t"]] if lengths else r["t"]
         if not seq:
             return [{"doc_id": r["doc_id"], "gain": None}]
-        seen, total = len(zlib.compress(canonical(seq), 9)), 0
+        raw = lambda x: np.array(x, "<u4").tobytes() if lengths else canonical(x)
+        seen, total = len(zlib.compress(raw(seq), 9)), 0
         for k in range(replicates):
             own = list(seq)
             random.Random(stable_seed("gain", r["doc_id"], k)).shuffle(own)
-            total += len(zlib.compress(canonical(own), 9))
-        return [{"doc_id": r["doc_id"], "gain": (total / replicates - seen) / len(seq)}]
+            total += len(zlib.compress(raw(own), 9))
+        return [{"doc_id": r["doc_id"], "gain": (total / replicates - seen) / (len(seq) * (4 if lengths else 1))}]
 
     return rows_of(docs.select("doc_id", tokens(F.col("text")).alias("t")), one, "doc_id long, gain double")
 
@@ -96,15 +98,16 @@ def compression_distances(pairs: DataFrame) -> DataFrame:
 
 
 def low_frequency_power(docs: DataFrame) -> DataFrame:
-    """Share of the power of token lengths (mean removed) in the lowest quarter of the frequencies; null under 8 tokens."""
+    """Share of the power of token lengths (mean removed) in the lowest quarter of the frequencies, rounded up; 0 without
+    power."""
 
     def one(r: dict) -> list[dict]:
         x = np.array([len(t) for t in r["t"]], float)
-        if len(x) < 8:
-            return [{"doc_id": r["doc_id"], "low_power": None}]
+        if len(x) < 2:
+            return [{"doc_id": r["doc_id"], "low_power": 0.0}]
         p = np.abs(np.fft.rfft(x - x.mean())[1:]) ** 2
         total = p.sum()
-        return [{"doc_id": r["doc_id"], "low_power": float(p[: max(1, len(p) // 4)].sum() / total) if total > 0 else 0.0}]
+        return [{"doc_id": r["doc_id"], "low_power": float(p[: max(1, -(-len(p) // 4))].sum() / total) if total > 0 else 0.0}]
 
     return rows_of(docs.select("doc_id", tokens(F.col("text")).alias("t")), one, "doc_id long, low_power double")
 
@@ -208,25 +211,26 @@ def order_search(items: DataFrame, width: int = 4) -> DataFrame:
     return rows_of(items.select("item_id", "text"), one, "item_id long, orders int, true_score double, best_score double, true_rank double")
 
 
-def second_order_gain(items: DataFrame, train: float = 0.7, alpha: float = 0.1, backoff: float = 2.0) -> DataFrame:
-    """Bits by which an order-2 model with back-off predicts the rest of a text better than an order-1 model, both fitted on its
-    beginning."""
+def second_order_gain(items: DataFrame, train: float = 0.7, alpha: float = 0.1, backoff: float = 5.0) -> DataFrame:
+    """Mean bits by which an order-2 model predicts the rest of a text better than an order-1 model, both fitted on its
+    beginning (`train` of its letters, 3 at least). Each is additively smoothed over 25 symbols; the order-2 estimate is mixed
+    with the order-1 one by n / (n + backoff), n the number of its context. Null where nothing is left to predict."""
 
     def one(r: dict) -> list[dict]:
         seq = letters(r["text"] or "")
-        cut = int(len(seq) * train)
-        if cut < 3 or len(seq) - cut < 2:
+        cut = max(3, int(len(seq) * train))
+        if cut >= len(seq):
             return [{"item_id": r["item_id"], "gain_bits": None}]
-        head = seq[:cut]
-        two, one_, three, ctx = Counter(itertools.pairwise(head)), Counter(head[:-1]), Counter(zip(head, head[1:], head[2:], strict=False)), Counter(zip(head, head[1:-1], strict=False))
-        total = 0.0
-        for i in range(cut, len(seq)):
-            a, b, c = seq[i - 2], seq[i - 1], seq[i]
-            low = (two[b, c] + alpha) / (one_[b] + 25 * alpha)
-            n = ctx[a, b]
-            high = (three[a, b, c] + backoff * low) / (n + backoff)
-            total += np.log2(high / low)
-        return [{"item_id": r["item_id"], "gain_bits": float(total / (len(seq) - cut))}]
+        x = np.array(seq)
+        one_, two = np.zeros((25, 25)), np.zeros((25, 25, 25))
+        np.add.at(one_, (x[: cut - 1], x[1:cut]), 1)
+        np.add.at(two, (x[: cut - 2], x[1 : cut - 1], x[2:cut]), 1)
+        a, b, c = x[cut - 2 : -2], x[cut - 1 : -1], x[cut:]
+        low = (one_[b, c] + alpha) / (one_[b].sum(1) + 25 * alpha)
+        n = two[a, b].sum(1)
+        high = (two[a, b, c] + alpha) / (n + 25 * alpha)
+        mixed = (n * high + backoff * low) / (n + backoff)
+        return [{"item_id": r["item_id"], "gain_bits": float(np.log2(mixed / low).mean())}]
 
     return rows_of(items.select("item_id", "text"), one, "item_id long, gain_bits double")
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Tables whose rows become many.
+WIDE = ("documents", "conversations")
+
 #: DuckDB's levenshtein counts bytes, Spark's characters: for the oracle each accented letter becomes one control character.
 _ACCENTS = "äöüßéèêëçàâîïôûùñíóáúœæ"
 _PLAIN = " || ".join(f"chr({i + 1})" for i in range(8)) + " || " + " || ".join(f"chr({i + 14})" for i in range(len(_ACCENTS) - 8))
@@ -57,6 +60,8 @@ WORDS: dict[str, tuple[str, str]] = {
     "UNIT": ("(CAST(conv(substr(md5({0}), 1, 8), 16, 10) AS BIGINT) / 4294967296e0)", "(CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) / 4294967296e0)"),
     "DRAW": ("CAST(floor(CAST(conv(substr(md5({0}), 1, 13), 16, 10) AS BIGINT) / 4503599627370496e0 * {1}) AS BIGINT)", "CAST(floor(CAST(('0x' || substr(md5({0}), 1, 13)) AS BIGINT) / 4503599627370496e0 * {1}) AS BIGINT)"),
     "SPAN": ("explode(sequence({0}, {1}))", "unnest(range({0}, {1} + 1))"),
+    "BROUND": ("bround({0}, 0)", "round_even({0}, 0)"),
+    "ANTI": ("LEFT ANTI JOIN", "ANTI JOIN"),
     "RANGE": ("explode(sequence(0, {0} - 1))", "unnest(range(0, {0}))"),
     "CHR": ("char({0})", "chr(CAST({0} AS INTEGER))"),
     "JOINED": ("array_join(transform(sort_array(collect_list(struct({1}, {0}))), x -> x.{2}), '')", "string_agg({0}, '' ORDER BY {1})"),
@@ -96,10 +101,18 @@ def rendered(shared: str, body: str, engine: int) -> str:
     return f"WITH {tables}, {body[4:].strip()}" if body[:4].upper() == "WITH" else f"WITH {tables} {body}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. A table in fewer pieces than there are cores (so a small one) is dealt out once, by rows; others
+    stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
     for t in TABLES:
         if t in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            (spread(rows) if t in WIDE else rows).createOrReplaceTempView(t)
 
 
 def query(shared: str, body: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:

@@ -15,9 +15,7 @@ NULLS = {
     "null_within_page_shuffle": ("tok", "WITH r AS (SELECT @RANGE(4) AS rep), p AS (SELECT doc_id, rep, tok, row_number() OVER (PARTITION BY doc_id, rep ORDER BY md5('shuffle:' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING)), pos) AS k FROM tok CROSS JOIN r), b AS (SELECT doc_id, rep, tok AS a, lead(tok) OVER (PARTITION BY doc_id, rep ORDER BY k) AS b FROM p) SELECT doc_id, CAST(rep AS BIGINT) AS rep, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS repeats, count(*) AS n FROM b GROUP BY doc_id, rep"),
     "null_symbol_shuffle": ("tok chars", "WITH p AS (SELECT doc_id, pos, c, row_number() OVER (PARTITION BY doc_id, pos ORDER BY md5('symbol:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(i AS STRING)), i) AS k FROM chars), b AS (SELECT doc_id, c AS a, lead(c) OVER (PARTITION BY doc_id, pos ORDER BY k) AS b FROM p) SELECT doc_id, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS repeats, count(b) AS pairs FROM b GROUP BY doc_id"),
     "null_global_resample": ("tok", f"WITH k AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok), {CELLS}, d AS (SELECT doc_id, pos, @DRAW('resample:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING); tot) AS x FROM tok CROSS JOIN n) SELECT d.doc_id, d.pos, c.tok FROM d JOIN c ON c.cell = CAST(floor(d.x / 16) AS BIGINT) AND d.x >= c.lo AND d.x < c.hi"),
-    "null_iid_symbol": ("tok chars", "WITH k AS (SELECT c, count(*) AS n FROM chars GROUP BY c), n AS (SELECT CAST(sum(n) AS BIGINT) AS tot FROM k), u AS (SELECT c, n, tot, CAST(sum(n) OVER (ORDER BY c ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM k CROSS JOIN n), v AS (SELECT c, hi - n AS lo, hi, @SPAN(CAST(floor((hi - n) * 1024e0 / tot) AS BIGINT); CAST(floor((hi - 1) * 1024e0 / tot) AS BIGINT)) AS cell FROM u), d AS (SELECT doc_id, pos, i, tot, @DRAW('iid:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(i AS STRING); tot) AS x FROM chars CROSS JOIN n) SELECT d.doc_id, d.pos, d.i, v.c FROM d JOIN v ON v.cell = CAST(floor(d.x * 1024e0 / d.tot) AS BIGINT) AND d.x >= v.lo AND d.x < v.hi"),
     "holm_adjust": ("", "WITH t AS (SELECT event_type, (1 + sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)) / (1 + count(*)) / 10 AS p FROM events GROUP BY event_type), h AS (SELECT event_type, p, row_number() OVER (ORDER BY p, event_type) AS i, count(*) OVER () AS c FROM t) SELECT event_type, round(p, 6) AS p, round(least(1e0, max(p * (c - i + 1)) OVER (ORDER BY p, i ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h"),
-    "worst_view_conjunction": ("tok", "WITH v AS (SELECT lang, source, avg(len) - 4 AS effect, 1 / (1e0 + count(*)) AS p FROM tok GROUP BY lang, source) SELECT source, round(max(p), 8) AS worst_p, CASE WHEN bool_and(effect > 0) THEN 1 ELSE 0 END AS all_positive, count(*) AS n_views FROM v GROUP BY source"),
     "stratified_page_split": ("", f"WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY {SPLIT}, doc_id) AS k, count(*) OVER (PARTITION BY lang, source) AS n FROM documents) SELECT doc_id, CASE WHEN n > 1 AND k <= least(n - 1, greatest(1, CAST(floor(n * 3e-1 + 5e-1) AS BIGINT))) THEN 'heldout' ELSE 'train' END AS split FROM r"),
     "contiguous_folds": ("", "SELECT doc_id, CAST(ntile(5) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) - 1 AS fold FROM documents"),
     "hash_folds": ("", "SELECT doc_id, (CAST(row_number() OVER (PARTITION BY source ORDER BY @SHA(CAST(doc_id AS STRING))) AS BIGINT) - 1) % 5 AS fold FROM documents"),

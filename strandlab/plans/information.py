@@ -18,9 +18,6 @@ QUERIES = {
     "periodic_slice_ic": ("ev", "WITH g AS (SELECT @RANGE(6) AS g), x AS (SELECT user_id, g + 1 AS period, pos % (g + 1) AS r, event_type, count(*) AS n FROM ev CROSS JOIN g GROUP BY user_id, g + 1, pos % (g + 1), event_type), s AS (SELECT user_id, period, r, sum(n * (n - 1)) AS hit, sum(n) AS tot FROM x GROUP BY user_id, period, r) SELECT user_id, CAST(period AS BIGINT) AS period, round(avg(CASE WHEN tot < 2 THEN 0e0 ELSE hit / (tot * (tot - 1)) END), 6) AS mean_ic FROM s GROUP BY user_id, period"),
     "ngram_spacings": ("ev", "WITH b AS (SELECT user_id, pos, event_type AS a, lead(event_type, 1) OVER (PARTITION BY user_id ORDER BY pos) AS b, lead(event_type, 2) OVER (PARTITION BY user_id ORDER BY pos) AS c FROM ev), s AS (SELECT user_id, a, b, c, pos, pos - lag(pos) OVER (PARTITION BY user_id, a, b, c ORDER BY pos) AS gap FROM b WHERE c IS NOT NULL) SELECT user_id, a, b, c, count(gap) AS repeats, CAST(min(gap) AS BIGINT) AS least_gap, CAST(sum(gap) AS BIGINT) AS total_gap FROM s GROUP BY user_id, a, b, c HAVING count(gap) > 0"),
     "count_spectrum": ("tok", "WITH k AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY doc_id, tok), r AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS share, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tok) AS rnk FROM k), d AS (SELECT doc_id, g + 1 AS rnk FROM (SELECT DISTINCT doc_id FROM k) CROSS JOIN (SELECT @RANGE(8) AS g)) SELECT d.doc_id, CAST(d.rnk AS BIGINT) AS rnk, round(coalesce(share, 0e0), 6) AS share FROM d LEFT JOIN r ON d.doc_id = r.doc_id AND d.rnk = r.rnk"),
-    "heldout_ngram_cross_entropy": ("tok chars", "WITH s AS (SELECT doc_id, CASE WHEN md5('split:' || CAST(doc_id AS STRING)) < 'c' THEN 1 ELSE 0 END AS train, pos, i, c, lag(c) OVER (PARTITION BY doc_id, pos ORDER BY i) AS a FROM chars), v AS (SELECT count(DISTINCT c) + 2 AS v FROM s WHERE train = 1), kn AS (SELECT DISTINCT c FROM s WHERE train = 1), m AS (SELECT s.train, coalesce(CASE WHEN s.a IS NULL THEN '<BOS>' ELSE coalesce(ka.c, '<UNK>') END, '<UNK>') AS a, coalesce(kc.c, '<UNK>') AS c FROM s LEFT JOIN kn kc ON s.c = kc.c LEFT JOIN kn ka ON s.a = ka.c), j AS (SELECT a, c, count(*) AS n FROM m WHERE train = 1 GROUP BY a, c), x AS (SELECT a, sum(n) AS n FROM j GROUP BY a), t AS (SELECT a, c, count(*) AS k FROM m WHERE train = 0 GROUP BY a, c) SELECT round(0e0 - sum(k * log2((coalesce(j.n, 0) + 1e-1) / (coalesce(x.n, 0) + 1e-1 * v))) / sum(k), 6) AS cross_entropy_bits, CAST(sum(k) AS BIGINT) AS n_test FROM t LEFT JOIN j ON t.a = j.a AND t.c = j.c LEFT JOIN x ON t.a = x.a CROSS JOIN v"),
-    "predictive_panel": ("tok", "WITH s AS (SELECT doc_id, CASE WHEN md5('split:' || CAST(doc_id AS STRING)) < 'c' THEN 1 ELSE 0 END AS train, tok AS c, coalesce(lag(tok) OVER (PARTITION BY doc_id ORDER BY pos), '<BOS>') AS a FROM tok), kn AS (SELECT c, count(*) AS n FROM s WHERE train = 1 GROUP BY c), z AS (SELECT count(*) + 2 AS v, sum(n) AS n FROM kn), j AS (SELECT a, c, count(*) AS n FROM s WHERE train = 1 GROUP BY a, c), x AS (SELECT a, sum(n) AS n FROM j GROUP BY a), t AS (SELECT a, c, count(*) AS k FROM s WHERE train = 0 GROUP BY a, c), e AS (SELECT 0e0 - sum(k * log2((coalesce(kn.n, 0) + 1e-1) / (z.n + 1e-1 * v))) / sum(k) AS h0, 0e0 - sum(k * log2((coalesce(j.n, 0) + 1e-1) / (coalesce(x.n, 0) + 1e-1 * v))) / sum(k) AS h1 FROM t LEFT JOIN kn ON t.c = kn.c LEFT JOIN j ON t.a = j.a AND t.c = j.c LEFT JOIN x ON t.a = x.a CROSS JOIN z) SELECT round(h0, 6) AS group_order0_bits, round(h1, 6) AS group_order1_bits, round(h0 - h1, 6) AS group_bigram_gain FROM e"),
     "modal_consistency": ("bench", "WITH p AS (SELECT item_id, v AS p, (v * 7 + i % 3) % 26 AS c FROM bench), k AS (SELECT item_id, p, c, count(*) AS n FROM p GROUP BY item_id, p, c), a AS (SELECT item_id, sum(m) AS m FROM (SELECT item_id, p, max(n) AS m FROM k GROUP BY item_id, p) GROUP BY item_id), b AS (SELECT item_id, sum(m) AS m FROM (SELECT item_id, c, max(n) AS m FROM k GROUP BY item_id, c) GROUP BY item_id), t AS (SELECT item_id, sum(n) AS n FROM k GROUP BY item_id) SELECT t.item_id, round((a.m + b.m) / (2 * t.n), 6) AS consistency FROM t JOIN a ON t.item_id = a.item_id JOIN b ON t.item_id = b.item_id"),
     "block_information": ("tok", "WITH k AS (SELECT doc_id, tok AS a, CAST(floor(pos / 20) AS BIGINT) AS b, count(*) AS n FROM tok GROUP BY doc_id, tok, CAST(floor(pos / 20) AS BIGINT)), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot, sum(n) OVER (PARTITION BY doc_id, a) AS l, sum(n) OVER (PARTITION BY doc_id, b) AS r FROM k) SELECT doc_id, round(sum(n / tot * log2(CAST(n AS DOUBLE) * tot / (CAST(l AS DOUBLE) * r))), 6) AS block_mi_bits FROM t GROUP BY doc_id"),
-    "block_fano": ("tok", "WITH f AS (SELECT doc_id, tok, count(*) AS n, min(pos) AS p FROM tok GROUP BY doc_id, tok HAVING count(*) >= 3), r AS (SELECT doc_id, tok, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rnk FROM f), q AS (SELECT doc_id, tok FROM r WHERE rnk <= 16), bl AS (SELECT DISTINCT doc_id, CAST(floor(pos / 20) AS BIGINT) AS b FROM tok), k AS (SELECT doc_id, tok, CAST(floor(pos / 20) AS BIGINT) AS b, count(*) AS n FROM tok GROUP BY doc_id, tok, CAST(floor(pos / 20) AS BIGINT)), g AS (SELECT q.doc_id, q.tok, bl.b, coalesce(k.n, 0) AS n FROM q JOIN bl ON q.doc_id = bl.doc_id LEFT JOIN k ON k.doc_id = q.doc_id AND k.tok = q.tok AND k.b = bl.b), z AS (SELECT doc_id, tok, var_pop(CAST(n AS DOUBLE)) / avg(n) AS fano FROM g GROUP BY doc_id, tok) SELECT doc_id, round(avg(fano), 6) AS frequent_token_fano FROM z GROUP BY doc_id"),
 }

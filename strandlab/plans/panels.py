@@ -18,10 +18,8 @@ QUERIES = {
     # Rows without doc_id: all documents after another, by doc_id.
     "vocabulary_growth_pooled": ("tok", "WITH d AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), o AS (SELECT doc_id, n, CAST(sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS earlier FROM d), f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, tok ORDER BY pos) AS k FROM tok), c AS (SELECT doc_id, pos + 1 AS prefix, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS types FROM f), g AS (SELECT tok, min(earlier + pos + 1) AS at FROM tok JOIN o ON tok.doc_id = o.doc_id GROUP BY tok), t AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM d), b AS (SELECT CAST(power(2, e) AS BIGINT) AS prefix, n FROM t CROSS JOIN (SELECT @RANGE(52) AS e) z), q AS (SELECT prefix FROM b WHERE prefix <= n UNION SELECT n AS prefix FROM t UNION SELECT CAST(floor(n / 2) AS BIGINT) AS prefix FROM t) SELECT c.doc_id, CAST(prefix AS BIGINT) AS prefix, CAST(types AS BIGINT) AS types FROM c JOIN d ON c.doc_id = d.doc_id WHERE (prefix & (prefix - 1)) = 0 OR prefix = n OR prefix = CAST(floor(n / 2) AS BIGINT) UNION ALL SELECT CAST(NULL AS BIGINT) AS doc_id, prefix, count(*) AS types FROM q JOIN g ON g.at <= q.prefix GROUP BY prefix"),
     "vocabulary_growth_page_reset": ("ltok", "WITH f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line, tok ORDER BY pos) AS k, pos, count(*) OVER (PARTITION BY doc_id, line) AS n FROM ltok) SELECT doc_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS BIGINT) AS discoveries, round(sum(CASE WHEN k = 1 AND 2 * pos >= n THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN 2 * pos >= n THEN 1 ELSE 0 END), 0), 6) AS second_half_novelty FROM f GROUP BY doc_id"),
-    "heaps_fit": ("tok", "WITH f AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id, tok ORDER BY pos) AS k FROM tok), c AS (SELECT doc_id, pos + 1 AS prefix, n, sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS types FROM f), p AS (SELECT DISTINCT doc_id, prefix, types, n FROM c CROSS JOIN (SELECT @RANGE(8) AS g) WHERE n >= 70 AND prefix = greatest(10, CAST(floor(n * (g + 1) / 8) AS BIGINT))) SELECT doc_id, round(regr_slope(ln(CAST(types AS DOUBLE)), ln(CAST(prefix AS DOUBLE))), 6) AS heaps_exponent, round(regr_r2(ln(CAST(types AS DOUBLE)), ln(CAST(prefix AS DOUBLE))), 6) AS heaps_r2 FROM p GROUP BY doc_id"),
     "length_autocorrelation": ("tok", f"WITH g AS (SELECT @RANGE(20) AS g), x AS (SELECT a.doc_id, g + 1 AS lag, CAST(a.len AS DOUBLE) AS x, CAST(b.len AS DOUBLE) AS y FROM tok a CROSS JOIN g JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + g + 1 WHERE g + 1 IN (1, 2, 5, 10, 20)) SELECT doc_id, CAST(lag AS BIGINT) AS lag, round({CORR.format('x', 'y')}, 6) AS r FROM x GROUP BY doc_id, lag HAVING count(*) >= 3"),
     "length_block_cv": ("tok", "WITH b AS (SELECT doc_id, floor(pos / 20) AS b, avg(len) AS m, stddev_pop(len) AS s FROM tok GROUP BY doc_id, floor(pos / 20)) SELECT doc_id, round(coalesce(stddev_pop(m) / nullif(avg(m), 0e0), 0e0), 6) AS mean_cv, round(coalesce(stddev_pop(s) / nullif(avg(s), 0e0), 0e0), 6) AS std_cv FROM b GROUP BY doc_id"),
-    "recurrence_burstiness": ("tok", "WITH g AS (SELECT doc_id, tok, pos - lag(pos) OVER (PARTITION BY doc_id, tok ORDER BY pos) AS gap FROM tok), t AS (SELECT doc_id, tok, stddev_pop(gap) AS s, avg(gap) AS m FROM g WHERE gap IS NOT NULL GROUP BY doc_id, tok HAVING count(gap) >= 2) SELECT doc_id, round(avg((s - m) / (s + m)), 6) AS burstiness, round(avg(s / m), 6) AS gap_cv FROM t GROUP BY doc_id"),
     "cooccurrence_graph": ("tok", "WITH b AS (SELECT doc_id, tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok), e AS (SELECT doc_id, least(a, b) AS u, greatest(a, b) AS v, count(*) AS w FROM b WHERE b IS NOT NULL AND a <> b GROUP BY doc_id, least(a, b), greatest(a, b)), s AS (SELECT doc_id, u, v, w FROM e UNION ALL SELECT doc_id, v AS u, u AS v, w FROM e), n AS (SELECT doc_id, u, sum(w) AS strength, count(*) AS degree FROM s GROUP BY doc_id, u), z AS (SELECT doc_id, stddev_pop(strength / degree) AS sd, avg(strength / degree) AS m, count(*) AS nodes FROM n GROUP BY doc_id), p AS (SELECT s.doc_id, CAST(a.degree AS DOUBLE) AS x, CAST(b.degree AS DOUBLE) AS y, CAST(s.w AS DOUBLE) AS w FROM s JOIN n a ON s.doc_id = a.doc_id AND s.u = a.u JOIN n b ON s.doc_id = b.doc_id AND s.v = b.u), q AS (SELECT doc_id, sum(w * x) / sum(w) AS mx, sum(w * x * y) / sum(w) AS mxy, sum(w * x * x) / sum(w) AS mxx, count(*) / 2 AS edges FROM p GROUP BY doc_id) SELECT q.doc_id, CAST(edges AS BIGINT) AS n_edges, nodes AS n_nodes, round(coalesce(sd / nullif(m, 0e0), 0e0), 6) AS selectivity_cv, CASE WHEN mxx - mx * mx < 1e-9 THEN 0e0 ELSE round((mxy - mx * mx) / (mxx - mx * mx), 5) END AS degree_assortativity FROM q JOIN z ON q.doc_id = z.doc_id"),
     "core_battery": ("ltok", "WITH k AS (SELECT doc_id, tok, count(*) AS n FROM ltok GROUP BY doc_id, tok), kt AS (SELECT doc_id, count(*) AS types, sum(n) AS tot, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS singles FROM k GROUP BY doc_id), b AS (SELECT doc_id, tok AS a, lead(tok) OVER (PARTITION BY doc_id, line ORDER BY pos) AS b FROM ltok), s AS (SELECT doc_id, sum(CASE WHEN a = b THEN 1 ELSE 0 END) / nullif(count(b), 0) AS same, count(b) AS pairs FROM b GROUP BY doc_id), x AS (SELECT doc_id, substr(a, CAST(length(a) AS INT), 1) AS l, substr(b, 1, 1) AS r, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY doc_id, substr(a, CAST(length(a) AS INT), 1), substr(b, 1, 1)), y AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot, sum(n) OVER (PARTITION BY doc_id, l) AS ln, sum(n) OVER (PARTITION BY doc_id, r) AS rn FROM x), mi AS (SELECT doc_id, sum(n / tot * log2(CAST(n AS DOUBLE) * tot / (CAST(ln AS DOUBLE) * rn))) AS edge FROM y GROUP BY doc_id) SELECT kt.doc_id, round(types / tot, 6) AS group_type_token_ratio, round(singles / types, 6) AS singleton_type_ratio, round(same, 6) AS adjacent_group_identity_rate, round(edge, 6) AS cross_separator_edge_mi_bits, pairs AS n_pairs FROM kt JOIN s ON kt.doc_id = s.doc_id LEFT JOIN mi ON kt.doc_id = mi.doc_id"),
     "measurement_support": ("ltok", "WITH t AS (SELECT doc_id, count(*) AS groups, count(DISTINCT line) AS lines, count(DISTINCT tok) AS types FROM ltok GROUP BY doc_id) SELECT doc_id, groups, lines, types, CASE WHEN groups - lines < 1 THEN 'no adjacent pairs' END AS adjacency_undefined, CASE WHEN groups = types THEN 'no recurrence' END AS recurrence_undefined, CASE WHEN lines < 3 THEN 'fewer than three lines' END AS position_undefined FROM t"),

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from strandlab.operators import learning, mechanism
 from strandlab.operators import procedures as P
+from strandlab.plans.dialect import WIDE, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in WIDE else rows
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
