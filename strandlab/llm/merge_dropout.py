@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import mapped, per_row
 
 MARK = "▁"
-#: Bytes of chunks and their ids that a worker remembers; when there are so many, it starts anew. Longer chunks than
-#: LONGEST are not remembered.
-CACHED_BYTES, LONGEST = 48 << 20, 200
+#: Bytes of chunks and their ids that a worker remembers. When there are so many, they become the old ones, of which those
+#: that come up again are kept: twice as many bytes are held at most. Longer chunks than LONGEST are not remembered.
+CACHED_BYTES, LONGEST = 40 << 20, 200
 #: Bytes of one remembered entry besides its text and its ids.
 _ENTRY = 300
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -82,6 +82,7 @@ class Model:
 
         model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        self.own = model
         self.ids, self.score, self.bytes_of, self.byte_id = {}, {}, [b""] * n, [0] * 256
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -93,6 +94,7 @@ class Model:
                 self.ids[piece] = i
                 self.score[piece] = model.get_score(i)
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
+        self.last_byte = max(self.byte_id)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on over a blank: chunks would not be independent")
         self.kind, self.code = (np.dtype("<u2"), "H") if n <= 1 << 16 else (np.dtype("<u4"), "I")
@@ -100,6 +102,17 @@ class Model:
         self.sizes, self.places = sizes, np.concatenate([[0], np.cumsum(sizes)])[:-1]
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
+    def undropped(self, chunks: list[str]) -> list[tuple[int, bytes]]:
+        """Of chunks of printable characters without blanks (each named without the one before it): how many pairs come up
+        when none is skipped, and the ids. Each pair that comes up makes two symbols one, so the model's own ids tell both."""
+        out = []
+        for chunk, ids in zip(chunks, self.own.encode(chunks, num_threads=1), strict=True):
+            left = len(ids)
+            if min(ids) <= self.last_byte:  # a character as bytes is one symbol
+                left -= sum(len(b) == 1 and 0x80 <= b[0] < 0xC0 for b in (self.bytes_of[i] for i in ids if i <= self.last_byte))
+            out.append((1 + len(chunk) - left, array(self.code, ids).tobytes()))
+        return out
+
     def segment(self, chunk: str, key: int, below: int) -> list[int]:
         """Ids of one chunk (blanks as such). key: of the occurrence (64 bits); below: share of skipped pairs, times 2**32."""
         return self.drawn(chunk, key, below)[0]
@@ -200,6 +213,7 @@ class Encoder:
         self.held = 0
         self.whole: dict[str, tuple[int, bytes]] = {}
         self.skipped: dict[tuple, tuple[int, bytes]] = {}
+        self.old: dict[str, tuple[int, bytes]] = {}
 
     def _new(self, chunk: str, key: int) -> bytes:
         ids, came, skips = self.model.drawn(" " + chunk, key, self.below)
@@ -213,6 +227,21 @@ class Encoder:
             self.whole[chunk] = got
         return got[1]
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember what new chunks become without skipped pairs."""
+        new = []
+        for c in chunks:
+            got = self.old.get(c)
+            if got:
+                self.whole[c] = got
+                self.held += _ENTRY + 2 * len(c) + len(got[1])
+            elif c and len(c) <= LONGEST and c.isprintable() and MARK not in c and " " not in c:
+                new.append(c)
+        if new:
+            got = self.model.undropped(new)
+            self.whole.update(zip(new, got, strict=True))
+            self.held += sum(_ENTRY + 2 * len(c) + len(x[1]) for c, x in zip(new, got, strict=True))
+
     def _some_skipped(self, chunk: str, key: int, skip: int) -> bytes:
         """Ids of a known chunk of which pair number skip is the first skipped one."""
         path = (chunk, skip)
@@ -231,9 +260,10 @@ class Encoder:
         else:
             chunks = text.split(" ")
         if self.held > self.remembered:
-            self.whole.clear()
+            self.whole, self.old, self.held = {}, self.whole, 0
             self.skipped.clear()
-            self.held = 0
+        if unseen := set(chunks).difference(self.whole):
+            self._learn(unseen)
         out, whole = [], self.whole.get
         if not self.below:
             for chunk in chunks:
