@@ -6,8 +6,6 @@ QUERIES = {
     "char_entropy_by_doc": ("tok chars", f"WITH k AS (SELECT doc_id, c, count(*) AS n FROM chars GROUP BY doc_id, c), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot FROM k) SELECT doc_id, {ENTROPY} AS char_entropy_bits, CAST(sum(n) AS BIGINT) AS n_chars, count(*) AS alphabet_size FROM t GROUP BY doc_id"),
     "token_entropy_by_lang": ("tok", f"WITH k AS (SELECT lang, tok, count(*) AS n FROM tok GROUP BY lang, tok), s AS (SELECT lang, sum(n) AS tot FROM k GROUP BY lang) SELECT k.lang, {ENTROPY} AS token_entropy_bits, count(*) AS n_types FROM k JOIN s ON k.lang = s.lang GROUP BY k.lang"),
     "normalized_entropy": ("bench", "WITH k AS (SELECT item_id, v % 25 AS v, count(*) AS n FROM bench GROUP BY item_id, v % 25), t AS (SELECT *, sum(n) OVER (PARTITION BY item_id) AS tot FROM k) SELECT item_id, round((0e0 - sum(n / tot * log2(n / tot))) / log2(25e0), 6) AS h_norm FROM t GROUP BY item_id"),
-    "cond_entropy_within_token": ("tok chars", "WITH b AS (SELECT doc_id, c AS a, lead(c) OVER (PARTITION BY doc_id, pos ORDER BY i) AS b FROM chars), k AS (SELECT doc_id, a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY doc_id, a, b), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot, sum(n) OVER (PARTITION BY doc_id, a) AS ctx FROM k) SELECT doc_id, round(0e0 - sum(n / tot * log2(n / ctx)), 6) AS cond_entropy_bits FROM t GROUP BY doc_id"),
-    "cond_entropy_padded_by_doc": ("tok chars", "WITH b AS (SELECT doc_id, CASE WHEN i = 0 THEN '^' ELSE lag(c) OVER (PARTITION BY doc_id, pos ORDER BY i) END AS a, c AS b FROM chars UNION ALL SELECT doc_id, c AS a, '$' AS b FROM chars WHERE i = len - 1), k AS (SELECT doc_id, a, b, count(*) AS n FROM b GROUP BY doc_id, a, b), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot, sum(n) OVER (PARTITION BY doc_id, a) AS ctx FROM k) SELECT doc_id, round(0e0 - sum(n / tot * log2(n / ctx)), 6) AS cond_entropy_bits FROM t GROUP BY doc_id"),
     "bigram_mutual_information": ("tok", "WITH b AS (SELECT doc_id, tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok), k AS (SELECT doc_id, a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY doc_id, a, b), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot, sum(n) OVER (PARTITION BY doc_id, a) AS l, sum(n) OVER (PARTITION BY doc_id, b) AS r FROM k) SELECT doc_id, round(sum(n / tot * log2(CAST(n AS DOUBLE) * tot / (CAST(l AS DOUBLE) * r))), 6) AS mi_bits FROM t GROUP BY doc_id"),
     "length_transition_mi": ("tok", "WITH b AS (SELECT doc_id, len AS a, lead(len) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok), k AS (SELECT doc_id, a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY doc_id, a, b), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot, sum(n) OVER (PARTITION BY doc_id, a) AS l, sum(n) OVER (PARTITION BY doc_id, b) AS r FROM k) SELECT doc_id, round(sum(n / tot * log2(CAST(n AS DOUBLE) * tot / (CAST(l AS DOUBLE) * r))), 6) AS mi_bits FROM t GROUP BY doc_id"),
     "first_last_char_l1": ("tok", "WITH e AS (SELECT doc_id, substr(tok, 1, 1) AS c, 1 AS f, 0 AS l FROM tok UNION ALL SELECT doc_id, substr(tok, CAST(len AS INT), 1) AS c, 0 AS f, 1 AS l FROM tok), k AS (SELECT doc_id, c, sum(f) AS f, sum(l) AS l FROM e GROUP BY doc_id, c), t AS (SELECT *, sum(f) OVER (PARTITION BY doc_id) AS n FROM k) SELECT doc_id, round(sum(abs(f - l) / n), 6) AS l1, round(0e0 - sum(CASE WHEN f > 0 THEN f / n * log2(f / n) ELSE 0e0 END), 6) AS first_entropy_bits, round(0e0 - sum(CASE WHEN l > 0 THEN l / n * log2(l / n) ELSE 0e0 END), 6) AS last_entropy_bits FROM t GROUP BY doc_id"),

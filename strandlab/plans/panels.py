@@ -7,7 +7,6 @@ QUERIES = {
     "type_token_hapax": ("tok", "WITH k AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY doc_id, tok) SELECT doc_id, count(*) AS n_types, CAST(sum(n) AS BIGINT) AS n_tokens, round(count(*) / sum(n), 6) AS type_ratio, round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / count(*), 6) AS hapax_ratio, round(max(n) / sum(n), 6) AS most_common_rate FROM k GROUP BY doc_id"),
     "zipf_fit": ("tok", "WITH k AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY doc_id, tok), r AS (SELECT doc_id, ln(CAST(n AS DOUBLE)) AS y, ln(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tok) AS DOUBLE)) AS x FROM k) SELECT doc_id, CASE WHEN count(*) < 3 THEN 0e0 ELSE round(covar_pop(y, x) / nullif(var_pop(x), 0e0), 6) END AS slope, CASE WHEN count(*) < 3 OR var_pop(y) < 1e-12 THEN 0e0 ELSE round(covar_pop(y, x) * covar_pop(y, x) / nullif(var_pop(x) * var_pop(y), 0e0), 6) END AS r2 FROM r GROUP BY doc_id"),
     "repeat_triple_rates": ("tok", "WITH b AS (SELECT doc_id, tok AS a, lead(tok, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS b, lead(tok, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM tok) SELECT doc_id, round(sum(CASE WHEN a = b THEN 1 ELSE 0 END) / nullif(count(b), 0), 6) AS repeat_rate, round(sum(CASE WHEN a = b AND b = c THEN 1 ELSE 0 END) / nullif(count(c), 0), 6) AS triple_rate, round(count(DISTINCT a || ' ' || b) / nullif(count(b), 0), 6) AS bigram_type_ratio, round(count(DISTINCT a || ' ' || b || ' ' || c) / nullif(count(c), 0), 6) AS trigram_type_ratio FROM b GROUP BY doc_id"),
-    "char_repeat_rates": ("tok chars", "WITH b AS (SELECT doc_id, c AS a, lead(c, 1) OVER (PARTITION BY doc_id, pos ORDER BY i) AS b, lead(c, 2) OVER (PARTITION BY doc_id, pos ORDER BY i) AS c FROM chars) SELECT doc_id, round(sum(CASE WHEN a = b THEN 1 ELSE 0 END) / nullif(count(b), 0), 6) AS repeat_rate, round(sum(CASE WHEN a = b AND b = c THEN 1 ELSE 0 END) / nullif(count(c), 0), 6) AS triple_rate FROM b GROUP BY doc_id"),
     "token_length_moments": ("tok", f"WITH t AS (SELECT doc_id, CAST(len AS DOUBLE) AS x, CAST(lead(len) OVER (PARTITION BY doc_id ORDER BY pos) AS DOUBLE) AS y FROM tok), m AS (SELECT doc_id, avg(x) AS mean, stddev_pop(x) AS sd, {SKEW} AS skew FROM t GROUP BY doc_id), a AS (SELECT doc_id, CASE WHEN count(*) < 2 THEN 0e0 ELSE {CORR.format('x', 'y')} END AS lag1 FROM t WHERE y IS NOT NULL GROUP BY doc_id) SELECT m.doc_id, round(mean, 6) AS mean_token_length, round(sd, 6) AS token_length_std, round(skew, 5) AS token_length_skew, round(coalesce(lag1, 0e0), 6) AS token_length_lag1 FROM m LEFT JOIN a ON m.doc_id = a.doc_id"),
     "surface_panel": ("tok chars", "WITH s AS (SELECT doc_id, count(*) AS n, avg(len) AS mean_len, stddev_pop(len) AS sd_len FROM tok GROUP BY doc_id HAVING count(*) >= 20), k AS (SELECT doc_id, tok, count(*) AS n FROM tok GROUP BY doc_id, tok), kt AS (SELECT doc_id, count(*) AS types, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS hapax, max(n) AS top, 0e0 - sum(n * log2(CAST(n AS DOUBLE))) AS nl, sum(n) AS tot FROM k GROUP BY doc_id), c AS (SELECT doc_id, c, count(*) AS n FROM chars GROUP BY doc_id, c), kc AS (SELECT doc_id, count(*) AS alphabet, max(n) AS top, 0e0 - sum(n * log2(CAST(n AS DOUBLE))) AS nl, sum(n) AS tot FROM c GROUP BY doc_id), b AS (SELECT doc_id, tok AS a, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok), kb AS (SELECT doc_id, sum(CASE WHEN @EDIT1(a; b) THEN 1 ELSE 0 END) / nullif(count(b), 0) AS edit1, count(DISTINCT a || ' ' || b) / nullif(count(b), 0) AS bigrams FROM b GROUP BY doc_id) SELECT s.doc_id, round(mean_len, 6) AS mean_token_length, round(sd_len, 6) AS token_length_std, round(types / s.n, 6) AS token_type_ratio, round(hapax / types, 6) AS token_hapax_ratio, round(kt.nl / kt.tot + log2(CAST(kt.tot AS DOUBLE)), 6) AS token_entropy_bits, round(kc.nl / kc.tot + log2(CAST(kc.tot AS DOUBLE)), 6) AS char_entropy_bits, round(edit1, 6) AS adjacent_edit1_rate, round(bigrams, 6) AS token_bigram_type_ratio, alphabet AS alphabet_size, round(kt.top / s.n, 6) AS most_common_token_rate, round(kc.top / kc.tot, 6) AS most_common_char_rate FROM s JOIN kt ON s.doc_id = kt.doc_id JOIN kc ON s.doc_id = kc.doc_id JOIN kb ON s.doc_id = kb.doc_id"),
     "page_panel": ("ltok", "WITH k AS (SELECT doc_id, tok, count(*) AS n FROM ltok GROUP BY doc_id, tok), kt AS (SELECT doc_id, count(*) AS types, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS hapax FROM k GROUP BY doc_id), b AS (SELECT doc_id, len, CASE WHEN lead(tok) OVER (PARTITION BY doc_id, line ORDER BY pos) = tok THEN 1 ELSE 0 END AS same, CASE WHEN lead(tok) OVER (PARTITION BY doc_id, line ORDER BY pos) IS NULL THEN 0 ELSE 1 END AS pair, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, line, tok ORDER BY pos) <= 20 THEN 1 ELSE 0 END AS again FROM ltok) SELECT b.doc_id, round(avg(len), 6) AS group_length_mean, round(stddev_pop(len) / avg(len), 6) AS group_length_cv, round(max(types) / count(*), 6) AS group_type_token_ratio, round(max(hapax) / max(types), 6) AS group_hapax_ratio, round(sum(same) / nullif(sum(pair), 0), 6) AS adjacent_group_repeat_rate, round(sum(again) / count(*), 6) AS window20_group_recurrence FROM b JOIN kt ON b.doc_id = kt.doc_id GROUP BY b.doc_id"),
