@@ -28,9 +28,7 @@ NULLS = {
 }
 
 RETRIEVAL = {
-    "bm25_rank": ("tok bwords", "WITH q AS (SELECT item_id, tok, count(*) AS m FROM bwords GROUP BY item_id, tok), dl AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), av AS (SELECT avg(n) AS avgdl, count(*) AS docs FROM dl), tf AS (SELECT doc_id, tok, count(*) AS f FROM tok GROUP BY doc_id, tok), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok), s AS (SELECT q.item_id, tf.doc_id, sum(q.m * ln(1 + (docs - df + 5e-1) / (df + 5e-1)) * f * 25e-1 / (f + 15e-1 * (25e-2 + 75e-2 * n / avgdl))) AS score FROM q JOIN tf ON q.tok = tf.tok JOIN df ON df.tok = q.tok JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN av GROUP BY q.item_id, tf.doc_id), k AS (SELECT item_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) AS rnk FROM s) SELECT item_id, doc_id, score, CAST(rnk AS BIGINT) AS rnk FROM k WHERE rnk <= 10"),
     "cosine_rank": ("", "WITH v AS (SELECT vec_id, embedding AS e, sqrt(@DOT(embedding; embedding)) AS norm FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN c.norm = 0 THEN -1e0 ELSE round(@DOT(q.e; c.e) / (q.norm * c.norm), 6) END AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk FROM s) SELECT query_id, vec_id, score, CAST(rnk AS BIGINT) AS rnk FROM k WHERE rnk <= 10"),
-    "rrf_hybrid": ("tok bwords", "WITH w AS (SELECT DISTINCT item_id, tok FROM bwords), d AS (SELECT doc_id, tok, count(*) AS f FROM tok GROUP BY doc_id, tok), s AS (SELECT item_id, doc_id, count(*) AS types, sum(f) AS hits FROM w JOIN d ON w.tok = d.tok GROUP BY item_id, doc_id), r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY types DESC, doc_id) AS a, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS b FROM s), f AS (SELECT item_id, doc_id, round(1 / (60e0 + a) + 1 / (60e0 + b), 8) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM f) SELECT item_id, doc_id, score, CAST(rnk AS BIGINT) AS rnk FROM k WHERE rnk <= 6"),
     "retrieval_metrics_stable": ("bwords", f"WITH {SIM}, r AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, c) AS rnk, count(*) OVER (PARTITION BY q) AS n FROM s) SELECT count(*) AS n_queries, round(avg(1e0 / rnk), 6) AS mrr, round(avg(CASE WHEN rnk = 1 THEN 1e0 ELSE 0e0 END), 6) AS top1, CAST(median(rnk) AS DOUBLE) AS median_rank FROM r WHERE q = c"),
     "retrieval_metrics_tiesafe": ("bwords", f"WITH {SIM}, t AS (SELECT q, round(score, 9) AS score FROM s WHERE q = c), r AS (SELECT s.q, 1 + sum(CASE WHEN round(s.score, 9) > t.score THEN 1 ELSE 0 END) + 5e-1 * (sum(CASE WHEN round(s.score, 9) = t.score THEN 1 ELSE 0 END) - 1) AS rnk FROM s JOIN t ON s.q = t.q GROUP BY s.q) SELECT q AS item_id, CAST(rnk AS DOUBLE) AS rnk, round(1 / CAST(rnk AS DOUBLE), 6) AS reciprocal FROM r"),
     "pair_auc": ("", "WITH d AS (SELECT toxic AS y, CAST(n_chars AS DOUBLE) AS x FROM labels l JOIN documents d ON l.doc_id = d.doc_id), r AS (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM d) SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - CAST(sum(y) AS DOUBLE) * (sum(y) + 1) / 2) / (CAST(sum(y) AS DOUBLE) * (count(*) - sum(y))), 6) AS auc FROM r"),

@@ -363,4 +363,57 @@ PERMUTATIONS = {
     ),
 }
 
-QUERIES = HELD_OUT | ALIGNMENT | LEDGER | CHECKS | SAMPLING | PERMUTATIONS
+#: Okapi weights of the documents that share a word with an item, how many of its words they have, and the cosine of counts.
+SCORES = """
+q AS (SELECT item_id, tok, count(*) AS m FROM bwords GROUP BY item_id, tok),
+qn AS (SELECT item_id, count(*) AS types, sqrt(CAST(sum(m * m) AS DOUBLE)) AS norm FROM q GROUP BY item_id),
+tf AS (SELECT doc_id, tok, count(*) AS f FROM tok GROUP BY doc_id, tok),
+dl AS (SELECT doc_id, sum(f) AS n, sqrt(CAST(sum(f * f) AS DOUBLE)) AS norm FROM tf GROUP BY doc_id),
+av AS (SELECT avg(n) AS avgdl, count(*) AS docs FROM dl),
+df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+s AS (
+  SELECT q.item_id, tf.doc_id, count(*) AS hit, sum(q.m * f) / (max(qn.norm) * max(dl.norm)) AS cosine,
+         sum(q.m * ln(1 + (docs - df + 5e-1) / (df + 5e-1)) * f * 25e-1 / (f + 15e-1 * (25e-2 + 75e-2 * n / avgdl))) AS score
+  FROM q JOIN tf ON q.tok = tf.tok JOIN df ON df.tok = q.tok JOIN dl ON dl.doc_id = tf.doc_id JOIN qn ON qn.item_id = q.item_id CROSS JOIN av GROUP BY q.item_id, tf.doc_id),
+ph AS (
+  SELECT s.item_id, s.doc_id, 2e0 AS bonus FROM s JOIN qn ON qn.item_id = s.item_id AND qn.types = s.hit JOIN benchmark b ON b.item_id = s.item_id JOIN documents d ON d.doc_id = s.doc_id
+  WHERE instr(lower(d.text), lower(b.text)) > 0),
+z AS (SELECT s.item_id, s.doc_id, round(score + coalesce(bonus, 0e0), 5) AS score, round(cosine, 7) AS cosine FROM s LEFT JOIN ph ON ph.item_id = s.item_id AND ph.doc_id = s.doc_id)"""
+
+RETRIEVAL = {
+    "bm25_rank": (
+        "tok bwords",
+        f"""WITH {SCORES}, k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM z)
+        SELECT item_id, doc_id, score, CAST(rnk AS BIGINT) AS rnk FROM k WHERE rnk <= 10""",
+    ),
+    "rrf_hybrid": (
+        "tok bwords",
+        f"""WITH {SCORES},
+        r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS a, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS b FROM z),
+        f AS (SELECT item_id, doc_id, a, b, round(1 / (60e0 + a) + 1 / (60e0 + b), 8) AS score FROM r),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM f)
+        SELECT item_id, doc_id, score, CAST(a AS BIGINT) AS lexical_rank, CAST(b AS BIGINT) AS vector_rank, CAST(rnk AS BIGINT) AS rnk FROM k WHERE rnk <= 10""",
+    ),
+    "candidate_truncation": (
+        "tok bwords",
+        f"""WITH {SCORES},
+        r AS (SELECT item_id, doc_id, score, cosine, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS a FROM z),
+        t AS (SELECT item_id, doc_id, cosine, a, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS b FROM r WHERE a <= 24),
+        f AS (SELECT item_id, doc_id, cosine, round(1 / (60e0 + a) + 1 / (60e0 + b), 8) AS fused FROM t),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS c FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS packet FROM k WHERE c <= 12)
+        SELECT item_id, doc_id, fused, CAST(packet AS BIGINT) AS packet FROM p""",
+    ),
+    "retrieval_metrics_rectangular": (
+        "tok bwords",
+        f"""WITH {SCORES},
+        truth AS (SELECT item_id, min(doc_id) AS doc_id FROM ph GROUP BY item_id),
+        k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk, count(*) OVER (PARTITION BY item_id) AS n FROM z),
+        m AS (SELECT k.item_id, 1e0 / rnk AS rr, CASE WHEN rnk = 1 THEN 1e0 ELSE 0e0 END AS top1, n FROM k JOIN truth ON truth.item_id = k.item_id AND truth.doc_id = k.doc_id),
+        e AS (SELECT DISTINCT n FROM m), h AS (SELECT n, @SPAN(1; CAST(n AS INT)) AS i FROM e), x AS (SELECT n, sum(1e0 / i) / n AS chance FROM h GROUP BY n)
+        SELECT count(*) AS queries, round(avg(rr), 6) AS mrr, round(avg((rr - chance) / (1 - chance)), 6) AS normalized_mrr, round(avg(top1), 6) AS top1, round(avg(top1 - 1e0 / m.n), 6) AS top1_lift
+        FROM m JOIN x ON x.n = m.n WHERE m.n > 1""",
+    ),
+}
+
+QUERIES = RETRIEVAL | HELD_OUT | ALIGNMENT | LEDGER | CHECKS | SAMPLING | PERMUTATIONS
