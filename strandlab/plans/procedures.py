@@ -39,7 +39,9 @@ QUERIES = {
     "order2_gain": lambda s, d: P.second_order_gain(_table(s, d, "benchmark")),
     "bpe_merge_first": lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(P.fit_merges(_table(s, d, "documents"), 4))], "merge_id int, a string, b string"),
     "learned_units_apply": lambda s, d: P.apply_merges(_table(s, d, "documents"), P.fit_merges(_table(s, d, "documents"), 4)),
-    "logistic_transfer": lambda s, d: learning.summary(learning.out_of_fold(_labelled(s, d), (0,))),
-    "forest_transfer": lambda s, d: learning.summary(learning.out_of_fold(_labelled(s, d), (1,))),
+    "logistic_transfer": lambda s, d: learning.summary(learning.out_of_family(_labelled(s, d), "lang", (0,)), by=("family",)),
+    "forest_transfer": lambda s, d: learning.summary(learning.out_of_family(_labelled(s, d), "lang", (1,)), by=("family",)),
+    "robust_logistic_transfer": lambda s, d: learning.summary(learning.out_of_family(_labelled(s, d), "lang", (2,)), by=("family",)),
+    "logistic_out_of_fold": lambda s, d: learning.summary(learning.out_of_fold(_labelled(s, d), (0,))),
     "oof_group_kfold": lambda s, d: learning.out_of_fold(_labelled(s, d)),
 }
