@@ -3,6 +3,7 @@ Spark and for the DuckDB oracle; what stands on them is plain SQL that both read
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,7 +111,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def views(spark: SparkSession, sf_dir: str, text: str) -> None:
     for t in TABLES:
-        if t in text:
+        if re.search(rf"\b{t}\b", text):
             rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
             (spread(rows) if t in WIDE else rows).createOrReplaceTempView(t)
 
