@@ -54,6 +54,11 @@ SHARED: dict[str, tuple[str, str]] = {
     ),
 }
 
+SHARED["dtok"] = (
+    r"SELECT doc_id, lang, source, filter(split(lower(text), '[ \\t\\r\\n]+'), x -> x <> '') AS t FROM documents",
+    r"SELECT doc_id, lang, source, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS t FROM documents",
+)
+
 #: Spelled differently in the two engines: (Spark, DuckDB); {0}, {1} are arguments.
 WORDS: dict[str, tuple[str, str]] = {
     "PCT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
@@ -66,6 +71,9 @@ WORDS: dict[str, tuple[str, str]] = {
     "RANGE": ("explode(sequence(0, {0} - 1))", "unnest(range(0, {0}))"),
     "CHR": ("char({0})", "chr(CAST({0} AS INTEGER))"),
     "JOINED": ("array_join(transform(sort_array(collect_list(struct({1}, {0}))), x -> x.{2}), '')", "string_agg({0}, '' ORDER BY {1})"),
+    # a list in the order of md5(prefix:place), places from 0; how many neighbours are equal
+    "SHUFFLED": ("transform(array_sort(transform({0}, (x, i) -> struct(md5({1} || ':' || CAST(i AS STRING)) AS h, i AS i, x AS x))), s -> s.x)", "list_transform(list_sort(list_transform({0}, lambda x, i: struct_pack(h := md5({1} || ':' || CAST(i - 1 AS STRING)), i := i, x := x))), lambda s: s.x)"),
+    "EQUALS": ("CAST(size(filter(transform({0}, (x, i) -> i > 0 AND x = get({0}, i - 1)), y -> y)) AS BIGINT)", "CAST(len(list_filter({0}, lambda x, i: i > 1 AND x = {0}[i - 1])) AS BIGINT)"),
     "LIST": ("collect_list({0})", "list({0})"),
     "DOT": ("aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0e0, (s, x) -> s + x)", "list_sum(list_transform(list_zip({0}, {1}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"),
     "ANYNEAR": ("exists({0}, c -> levenshtein(c, {1}, 1) >= 0)", "len(list_filter(coalesce({0}, []), lambda c: levenshtein(" + _bytes("c") + ", " + _bytes("{1}") + ") <= 1)) > 0"),

@@ -12,14 +12,6 @@ SIM = "w AS (SELECT DISTINCT item_id, tok FROM bwords), n AS (SELECT item_id, co
 CELLS = "n AS (SELECT CAST(sum(n) AS BIGINT) AS tot FROM k), u AS (SELECT tok, n, CAST(sum(n) OVER (ORDER BY n DESC, tok ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM k), c AS (SELECT tok, hi - n AS lo, hi, @SPAN(CAST(floor((hi - n) / 16) AS BIGINT); CAST(floor((hi - 1) / 16) AS BIGINT)) AS cell FROM u)"
 
 NULLS = {
-    "null_within_page_shuffle": (
-        "tok",
-        """WITH r AS (SELECT @RANGE(4) AS rep),
-        p AS (SELECT doc_id, rep, tok, row_number() OVER (PARTITION BY doc_id, rep ORDER BY md5('shuffle:' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING)), pos) AS k
-            FROM tok CROSS JOIN r),
-        b AS (SELECT doc_id, rep, tok AS a, lead(tok) OVER (PARTITION BY doc_id, rep ORDER BY k) AS b FROM p)
-        SELECT doc_id, CAST(rep AS BIGINT) AS rep, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) AS repeats, count(*) AS n FROM b GROUP BY doc_id, rep""",
-    ),
     "null_symbol_shuffle": (
         "tok chars",
         """WITH p AS (SELECT doc_id, pos, c, row_number() OVER (PARTITION BY doc_id, pos ORDER BY md5('symbol:' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(i AS STRING)), i) AS k
@@ -91,15 +83,6 @@ NULLS = {
         o AS (SELECT m FROM s WHERE rep = 0)
         SELECT round(max(o.m), 6) AS observed, (1 + sum(CASE WHEN s.m >= o.m THEN 1 ELSE 0 END)) / (1e0 + count(*)) AS p FROM s CROSS JOIN o WHERE s.rep > 0""",
     ),
-    "null_ensemble_summary": (
-        "tok",
-        """WITH r AS (SELECT @RANGE(8) AS rep),
-        p AS (SELECT lang, rep, doc_id, tok, row_number() OVER (PARTITION BY rep, doc_id ORDER BY md5('ens:' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING) || ':' || CAST(pos AS STRING)), pos) AS k
-            FROM tok CROSS JOIN r),
-        b AS (SELECT lang, rep, tok AS a, lead(tok) OVER (PARTITION BY rep, doc_id ORDER BY k) AS b FROM p),
-        m AS (SELECT lang, rep, sum(CASE WHEN a = b THEN 1 ELSE 0 END) / nullif(count(b), 0) AS v FROM b GROUP BY lang, rep)
-        SELECT lang, count(v) AS defined, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM m GROUP BY lang""",
-    ),
 }
 
 RETRIEVAL = {
@@ -124,12 +107,6 @@ RETRIEVAL = {
             FROM s JOIN t ON s.q = t.q GROUP BY s.q)
         SELECT q AS item_id, CAST(rnk AS DOUBLE) AS rnk, round(1 / CAST(rnk AS DOUBLE), 6) AS reciprocal FROM r""",
     ),
-    "pair_auc": (
-        "",
-        """WITH d AS (SELECT toxic AS y, CAST(n_chars AS DOUBLE) AS x FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
-        r AS (SELECT y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM d)
-        SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - CAST(sum(y) AS DOUBLE) * (sum(y) + 1) / 2) / (CAST(sum(y) AS DOUBLE) * (count(*) - sum(y))), 6) AS auc FROM r""",
-    ),
     "document_level_metrics": (
         "ltok",
         """WITH c AS (SELECT l.doc_id, toxic AS y, line, avg(len) / 10 AS s FROM ltok t JOIN labels l ON t.doc_id = l.doc_id GROUP BY l.doc_id, toxic, line),
@@ -154,4 +131,24 @@ RETRIEVAL = {
         """SELECT DISTINCT doc_id, line, round(1e0 / max(k) OVER (PARTITION BY doc_id), 9) AS weight FROM (SELECT doc_id, line, dense_rank() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM ltok) z""",
     ),
 }
-QUERIES = NULLS | RETRIEVAL
+#: Shuffles within documents happen inside each document's row: no word leaves it.
+WITHIN = {
+    "null_within_page_shuffle": (
+        "dtok",
+        """WITH r AS (SELECT @RANGE(4) AS rep), d AS (SELECT doc_id, rep, @SHUFFLED(t; 'shuffle:' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING)) AS s, @SIZE(t) AS n FROM dtok CROSS JOIN r)
+        SELECT doc_id, CAST(rep AS BIGINT) AS rep, @EQUALS(s) AS repeats, n FROM d WHERE n > 0""",
+    ),
+    "null_ensemble_summary": (
+        "dtok",
+        """WITH r AS (SELECT @RANGE(8) AS rep), d AS (SELECT lang, rep, @SHUFFLED(t; 'ens:' || CAST(rep AS STRING) || ':' || CAST(doc_id AS STRING)) AS s, @SIZE(t) AS n FROM dtok CROSS JOIN r),
+        m AS (SELECT lang, rep, sum(@EQUALS(s)) / nullif(sum(n - 1), 0) AS v FROM d WHERE n > 0 GROUP BY lang, rep)
+        SELECT lang, count(v) AS defined, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM m GROUP BY lang""",
+    ),
+    "pair_auc": (
+        "",
+        """WITH d AS (SELECT toxic AS y, CAST(n_chars AS DOUBLE) AS x FROM labels l JOIN documents d ON l.doc_id = d.doc_id), k AS (SELECT x, sum(y) AS p, sum(1 - y) AS q FROM d GROUP BY x),
+        c AS (SELECT p, q, sum(q) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) - q AS below FROM k)
+        SELECT round(CAST(sum(p * (2 * below + q)) AS DOUBLE) / (2e0 * sum(p) * sum(q)), 6) AS auc FROM c""",
+    ),
+}
+QUERIES = NULLS | RETRIEVAL | WITHIN
