@@ -416,4 +416,58 @@ RETRIEVAL = {
     ),
 }
 
-QUERIES = RETRIEVAL | HELD_OUT | ALIGNMENT | LEDGER | CHECKS | SAMPLING | PERMUTATIONS
+#: Three features of each document under three variants: as it is, its first half, its second half.
+FEATURES = """
+h AS (SELECT doc_id, pos, tok, len, count(*) OVER (PARTITION BY doc_id) AS n FROM tok),
+v AS (
+  SELECT 'whole' AS variant, doc_id, tok, len FROM h UNION ALL SELECT 'first' AS variant, doc_id, tok, len FROM h WHERE pos * 2 < n
+  UNION ALL SELECT 'second' AS variant, doc_id, tok, len FROM h WHERE pos * 2 >= n AND n > 1),
+w AS (
+  SELECT variant, doc_id, avg(len) AS mean_length, count(DISTINCT tok) / CAST(count(*) AS DOUBLE) AS type_ratio, sum(CASE WHEN len <= 3 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS short_share
+  FROM v GROUP BY variant, doc_id),
+f AS (
+  SELECT variant, doc_id, 'mean_length' AS feature, mean_length AS x FROM w UNION ALL SELECT variant, doc_id, 'type_ratio' AS feature, type_ratio AS x FROM w
+  UNION ALL SELECT variant, doc_id, 'short_share' AS feature, short_share AS x FROM w)"""
+
+SELECTION = {
+    "invariant_feature_selection": (
+        "tok",
+        f"""WITH {FEATURES},
+        t AS (SELECT f.variant, f.doc_id, f.feature, f.x, l.quality AS y FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE md5('split:' || CAST(f.doc_id AS STRING)) < 'c'),
+        m AS (SELECT variant, feature, avg(x) AS mean, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1e0 END AS sd, avg(CASE WHEN y = 1 THEN x END) AS x1, avg(CASE WHEN y = 0 THEN x END) AS x0 FROM t GROUP BY variant, feature),
+        p AS (SELECT feature, @PCT(abs(x1 - x0) / sd; 0.5) AS separation FROM m GROUP BY feature),
+        d AS (SELECT t.feature, t.doc_id, stddev_pop((t.x - m.mean) / m.sd) AS spread FROM t JOIN m ON m.variant = t.variant AND m.feature = t.feature GROUP BY t.feature, t.doc_id HAVING count(*) = 3),
+        i AS (SELECT feature, @PCT(spread; 0.5) AS instability FROM d GROUP BY feature),
+        s AS (SELECT p.feature, separation, instability, round(separation / (1 + instability), 9) AS score FROM p JOIN i ON i.feature = p.feature)
+        SELECT feature, round(separation, 6) AS separation, round(instability, 6) AS instability, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, feature) AS BIGINT) AS rnk FROM s""",
+    ),
+    "feature_survival": (
+        "tok",
+        f"""WITH {FEATURES},
+        b AS (SELECT doc_id, feature, x FROM f WHERE variant = 'whole'), sd AS (SELECT feature, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1e0 END AS sd FROM b GROUP BY feature),
+        j AS (SELECT f.variant, f.feature, b.x AS x, f.x AS y FROM f JOIN b ON b.doc_id = f.doc_id AND b.feature = f.feature WHERE f.variant <> 'whole'),
+        r AS (
+          SELECT variant, feature, x, y, rank() OVER (PARTITION BY variant, feature ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY variant, feature, round(x, 9)) - 1) / 2e0 AS a,
+                 rank() OVER (PARTITION BY variant, feature ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY variant, feature, round(y, 9)) - 1) / 2e0 AS b FROM j)
+        SELECT r.variant, r.feature, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0e0), 6) AS spearman, round(@PCT(abs(y - x) / sd; 0.5), 6) AS median_shift
+        FROM r JOIN sd ON sd.feature = r.feature GROUP BY r.variant, r.feature""",
+    ),
+    "score_summary": (
+        "tok",
+        """WITH s AS (SELECT source, doc_id, avg(len) AS score FROM tok GROUP BY source, doc_id)
+        SELECT source, CASE WHEN source IS NULL THEN 'all' ELSE 'subgroup' END AS level, count(*) AS n, round(@PCT(score; 0.5), 6) AS median, round(@PCT(score; 0.75) - @PCT(score; 0.25), 6) AS iqr
+        FROM s GROUP BY GROUPING SETS ((), (source))""",
+    ),
+    "scoped_uncertainty": (
+        "ltok",
+        """WITH p AS (SELECT source, doc_id, substr(tok, CAST(len AS INT), 1) AS ctx, lead(substr(tok, 1, 1)) OVER (PARTITION BY doc_id, line ORDER BY pos) AS unit FROM ltok),
+        k AS (SELECT source, ctx, unit, count(*) AS n FROM p WHERE unit IS NOT NULL GROUP BY source, ctx, unit), c AS (SELECT source, ctx, sum(n) AS n FROM k GROUP BY source, ctx), u AS (SELECT source, unit, sum(n) AS n FROM k GROUP BY source, unit),
+        j AS (SELECT source, log2(CAST(sum(n) AS DOUBLE)) - sum(n * log2(CAST(n AS DOUBLE))) / sum(n) AS joint, sum(n) AS tot FROM k GROUP BY source),
+        x AS (SELECT source, log2(CAST(sum(n) AS DOUBLE)) - sum(n * log2(CAST(n AS DOUBLE))) / sum(n) AS ctx_bits FROM c GROUP BY source),
+        y AS (SELECT source, log2(CAST(sum(n) AS DOUBLE)) - sum(n * log2(CAST(n AS DOUBLE))) / sum(n) AS unit_bits FROM u GROUP BY source)
+        SELECT j.source, CASE WHEN tot >= 30 THEN round(unit_bits, 6) END AS unit_entropy_bits, CASE WHEN tot >= 30 THEN round(joint - ctx_bits, 6) END AS conditional_entropy_bits, CAST(tot AS BIGINT) AS pairs
+        FROM j JOIN x ON x.source = j.source JOIN y ON y.source = j.source""",
+    ),
+}
+
+QUERIES = SELECTION | RETRIEVAL | HELD_OUT | ALIGNMENT | LEDGER | CHECKS | SAMPLING | PERMUTATIONS
