@@ -273,7 +273,7 @@ SAMPLING = {
         """WITH d AS (SELECT doc_id, CAST(floor(count(*) / 10) AS BIGINT) AS blocks FROM tok GROUP BY doc_id), w AS (SELECT doc_id, blocks, @DRAW('window:' || CAST(doc_id AS STRING); blocks - 1) * 10 AS start FROM d WHERE blocks >= 2)
         SELECT w.doc_id, w.start, min(tok.tok) AS least_token, count(*) AS n FROM w JOIN tok ON tok.doc_id = w.doc_id AND tok.pos >= w.start AND tok.pos < w.start + 20 GROUP BY w.doc_id, w.start""",
     ),
-    "pseudo_pages": ("tok", "SELECT doc_id, CAST(floor(pos / 10) AS BIGINT) AS page, count(*) AS n, max(CASE WHEN pos % 10 = 0 THEN tok END) AS first_token, sum(len) AS symbols FROM tok GROUP BY doc_id, CAST(floor(pos / 10) AS BIGINT)"),
+    "pseudo_pages": ("tok", "SELECT doc_id, CAST(floor(pos / 10) AS BIGINT) AS page, count(*) AS n, max(CASE WHEN pos % 10 = 0 THEN tok END) AS first_token, CAST(sum(len) AS BIGINT) AS symbols FROM tok GROUP BY doc_id, CAST(floor(pos / 10) AS BIGINT)"),
     "rank_values_mod25": (
         "tok",
         """WITH k AS (SELECT doc_id, tok, count(*) AS n, min(pos) AS p FROM tok GROUP BY doc_id, tok), r AS (SELECT doc_id, tok, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) - 1) % 25 AS v FROM k)
@@ -290,7 +290,7 @@ SAMPLING = {
     "centered_sample": (
         "tok",
         """WITH d AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY doc_id HAVING count(*) >= 30)
-        SELECT tok.doc_id, min(pos) AS start, count(*) AS n, sum(len) AS symbols FROM tok JOIN d ON d.doc_id = tok.doc_id WHERE pos >= floor((n - 30) / 2) AND pos < floor((n - 30) / 2) + 30 GROUP BY tok.doc_id""",
+        SELECT tok.doc_id, min(pos) AS start, count(*) AS n, CAST(sum(len) AS BIGINT) AS symbols FROM tok JOIN d ON d.doc_id = tok.doc_id WHERE pos >= floor((n - 30) / 2) AND pos < floor((n - 30) / 2) + 30 GROUP BY tok.doc_id""",
     ),
     "stratified_group_folds": (
         "",
