@@ -32,9 +32,9 @@ from strandlab.llm.common import mapped, per_row
 
 MARK = "▁"
 #: Characters that are encoded together, rounded up to whole texts.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 #: Chunks of so many characters at most are merged in one grid; longer ones than the last by themselves.
-WIDTHS = (6, 9, 12, 16, 24, 40)
+WIDTHS, GRID_ROWS = (6, 9, 12, 16, 24, 40), 10_000
 
 
 #: Chunks of so many characters at most have a list as their agenda, others a heap; both give the same pieces.
@@ -379,8 +379,8 @@ class _Parts:
         for width in WIDTHS:
             mine = np.flatnonzero((size > low) & (size <= width))
             low = width
-            for a in range(0, len(mine), 20_000):
-                at = mine[a : a + 20_000]
+            for a in range(0, len(mine), GRID_ROWS):
+                at = mine[a : a + GRID_ROWS]
                 grid = np.minimum(self.start[chunks[at]][:, None] + np.arange(width), len(self.cp) - 1)
                 raw = self.cp[grid]
                 symbols = pairs.char[raw]

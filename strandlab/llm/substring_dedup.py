@@ -15,7 +15,7 @@ was found is strung together: pieces that follow each other in the text and in o
 boundaries of every factor, its first and its last WINDOW words, digests (BLAKE2b, 128 bits) of the words themselves are
 held against the source's; a factor that differs is dropped. (6) Factors are cut from the texts.
 
-What one slice (about a megabyte of text) has more than once is settled in it: only its first occurrence goes to the
+What one slice (about half a megabyte of text) has more than once is settled in it: only its first occurrence goes to the
 shuffle. All else that meets by key is combined before the shuffle, or is a join that adaptive execution splits, so a passage
 that very many documents have fills no task."""
 

@@ -76,7 +76,7 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
         own = row_of * WEIGHTS + _slots(W.word_hashes(data, starts, ends, lower=True))
         distinct, one = np.unique(own, return_index=True)
         starts, ends, row_of = starts[one], ends[one], row_of[one]
-        rows, slots = [row_of], [distinct % WEIGHTS]
+        rows, slots = [row_of.astype(np.int32)], [(distinct % WEIGHTS).astype(np.int32)]
         for size in PREFIXES:
             long = ends - starts > size
             hashes = W.mix(W.word_hashes(data, starts[long], starts[long] + size, lower=True) + np.uint64(size))
@@ -85,8 +85,8 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
             tests = [(least, count >= least) for least in COUNTS] + [(100 + i, share >= least) for i, least in enumerate(SHARES)]
             for tag, ok in tests:
                 got = own[ok]
-                rows.append(got // WEIGHTS)
-                slots.append(_slots(W.mix((got % WEIGHTS).astype(np.uint64) + np.uint64((tag << 40) + (size << 48)))))
+                rows.append((got // WEIGHTS).astype(np.int32))
+                slots.append(_slots(W.mix((got % WEIGHTS).astype(np.uint64) + np.uint64((tag << 40) + (size << 48)))).astype(np.int32))
         yield a, b, np.concatenate(rows), np.concatenate(slots)
 
 
