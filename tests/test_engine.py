@@ -223,3 +223,20 @@ def test_order_search_scores_whole_items(spark):
     """The first 400 letters are one letter, for which most orders tie; the rest tells them apart."""
     rank = lambda x: procedures.order_search(spark.createDataFrame([(1, x)], "item_id long, text string")).first()["true_rank"]
     assert rank("a" * 400) > rank("a" * 400 + "the quick brown fox jumps over lazy dogs " * 20)
+
+
+def exchanges(df):
+    """What the plan shuffles, without exchanges that are one and the same."""
+    return [x.strip(" :+-*") for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if re.search(r"\bExchange ", x)]
+
+
+@pytest.mark.parametrize("name", ["battery_panel"])
+def test_only_texts_are_shuffled(spark, name):
+    """Of what is measured document by document nothing passes a shuffle but the documents, dealt once by doc_id."""
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        got = exchanges(catalogue.QUERIES[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert got and all(re.match(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\), REPARTITION_BY_NUM", x) for x in got)
