@@ -230,7 +230,7 @@ def exchanges(df):
     return [x.strip(" :+-*") for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if re.search(r"\bExchange ", x)]
 
 
-@pytest.mark.parametrize("name", ["battery_panel", "higher_order_panel", "null_symbol_shuffle", "page_panel_full"])
+@pytest.mark.parametrize("name", ["battery_panel", "higher_order_panel", "null_symbol_shuffle", "page_panel_full", "sequence_panel"])
 def test_only_texts_are_shuffled(spark, name):
     """Of what is measured document by document nothing passes a shuffle but the documents, dealt once by doc_id."""
     bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
