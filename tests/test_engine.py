@@ -240,3 +240,16 @@ def test_only_texts_are_shuffled(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     assert got and all(re.match(r"Exchange hashpartitioning\(doc_id#\d+L?, \d+\), REPARTITION_BY_NUM", x) for x in got)
+
+
+def test_links_are_not_shuffled(spark, duck, tmp_path):
+    """Ids are made distinct before the join, so no pair passes a shuffle; repeated ids and null ones give the rows of the SQL."""
+    tables = {"documents": "doc_id", "pages": "page_id"}
+    for t, key in tables.items():
+        spark.createDataFrame([(i,) for i in [*range(-150, 150), 7, 7, 104, None]], f"{key} long").write.parquet(str(tmp_path / f"{t}.parquet"))
+    df = catalogue.QUERIES["many_to_many_links"](spark, str(tmp_path))
+    assert not [x for x in exchanges(df) if "doc_id" in x and "page_id" in x]
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, df.select("doc_id", "page_id").collect())) == sorted(con.sql(f"select doc_id, page_id from ({catalogue.SQL['many_to_many_links']})").fetchall())
