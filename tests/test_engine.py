@@ -253,3 +253,10 @@ def test_links_are_not_shuffled(spark, duck, tmp_path):
     for t in tables:
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(map(tuple, df.select("doc_id", "page_id").collect())) == sorted(con.sql(f"select doc_id, page_id from ({catalogue.SQL['many_to_many_links']})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["retrieval_metrics_rectangular"])
+def test_no_list_of_all_documents(spark, name):
+    """What items have in common with documents is counted where the documents are: nothing is shuffled by item but sums."""
+    got = exchanges(catalogue.QUERIES[name](spark, SF))
+    assert not [x for x in got if re.search(r"hashpartitioning\((doc_id#\d+L?, )?tok#", x)]
