@@ -255,7 +255,7 @@ def test_links_are_not_shuffled(spark, duck, tmp_path):
     assert sorted(map(tuple, df.select("doc_id", "page_id").collect())) == sorted(con.sql(f"select doc_id, page_id from ({catalogue.SQL['many_to_many_links']})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["retrieval_metrics_rectangular"])
+@pytest.mark.parametrize("name", ["retrieval_metrics_rectangular", "rrf_hybrid"])
 def test_no_list_of_all_documents(spark, name):
     """What items have in common with documents is counted where the documents are: nothing is shuffled by item but sums."""
     got = exchanges(catalogue.QUERIES[name](spark, SF))
